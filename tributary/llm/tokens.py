@@ -5,8 +5,8 @@ sum of its pre-tokens' lengths in tokens. Texts are cut before every space that
 follows a character other than white space: the pre-tokeniser always begins a
 pre-token there, so the stretches between (a word with its punctuation) can be
 counted one by one. Tier one is a broadcast table of the lengths of the
-corpus's most frequent stretches, found by mergeable frequent-item sketches of
-bounded size over all documents. Tier two is a cache in each worker, bounded
+corpus's most frequent stretches, found by summaries of bounded size that the
+tasks make of all documents. Tier two is a cache in each worker, bounded
 too: a stretch that is in neither is cut into pre-tokens, those not in the
 cache are encoded in one batch, and their lengths are kept. No pre-token is
 ever shuffled; counts do not depend on what is cached.
@@ -19,6 +19,7 @@ are ignored.
 
 from __future__ import annotations
 
+import collections
 import json
 from collections.abc import Iterator
 
@@ -28,12 +29,10 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches
 
-#: Stretches in the broadcast table, and items each sketch tracks. Longer stretches are never listed.
-FREQUENT, TRACKED, LONGEST = 20_000, 60_000, 40
+#: Stretches in the broadcast table, those a task hands on, and those it counts. Longer ones are never listed.
+FREQUENT, TRACKED, SUMMARY, LONGEST = 40_000, 10_000, 150_000, 40
 #: Entries a worker's cache holds before it is begun anew.
-CACHE = 400_000
-#: Sketches are merged in so many groups first.
-GROUPS = 16
+CACHE = 250_000
 MAX_TOKENS = 1024
 
 #: Pre-tokens of the byte-level pre-tokeniser (public GPT-2 pattern).
@@ -41,12 +40,23 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 
 def frequent(docs: DataFrame) -> list[str]:
-    """The corpus's most frequent stretches: at most FREQUENT strings of at most LONGEST characters."""
-    one = docs.select(F.explode(F.split("text", " ")).alias("w")).filter(f"length(w) between 1 and {LONGEST}")
-    parts = one.groupBy(F.pmod(F.spark_partition_id(), F.lit(GROUPS)).alias("g")).agg(F.expr(f"approx_top_k_accumulate(w, {TRACKED})").alias("s"))
-    top = parts.agg(F.expr(f"approx_top_k_combine(s, {TRACKED})").alias("s")).select(F.expr(f"approx_top_k_estimate(s, {FREQUENT})").alias("t"))
-    found = top.first()
-    return sorted(x["item"] for x in found["t"] or []) if found else []
+    """The corpus's most frequent stretches: at most FREQUENT strings. Every task counts all its texts in a summary of
+    bounded size (Misra and Gries: when it is full, the count at its middle is taken off every entry, and those
+    without a rest go) and hands on its TRACKED largest; these summaries, not pre-tokens, are added up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: collections.Counter[str] = collections.Counter()
+        for batch in batches:
+            for text in batch.column("text"):
+                seen.update((text.as_py() or "").split(" "))
+                if len(seen) > SUMMARY:
+                    less = sorted(seen.values())[len(seen) // 2]
+                    seen = collections.Counter({k: v - less for k, v in seen.items() if v > less})
+        top = [(k, v) for k, v in seen.most_common(TRACKED) if 0 < len(k) <= LONGEST]
+        yield pa.record_batch([pa.array([k for k, _ in top], pa.string()), pa.array([v for _, v in top], pa.int64())], ["w", "n"])
+
+    counted = docs.select("text").mapInArrow(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    return sorted(r["w"] for r in counted.orderBy(F.desc("n"), "w").limit(FREQUENT).collect())
 
 
 class Counter:
