@@ -40,8 +40,10 @@ from pyspark.sql import functions as F
 
 from .common import attach, bound_batches, materialize
 
-#: Compressed bytes after which a file is closed, payload bytes of a shard, and key ranges counted at once.
-ROLL_BYTES, SHARD_BYTES, RANGES = 64 << 20, 256 << 20, 4096
+#: Compressed bytes after which a file is closed, and key ranges counted at once.
+ROLL_BYTES, RANGES = 256 << 20, 4096
+#: Payload bytes of a shard: this part of all, within these bounds.
+SHARD_PART, SHARD_LEAST, SHARD_MOST = 256, 8 << 20, 1 << 30
 DATE = "2000-01-01T00:00:00Z"  # given, so that reruns agree
 
 
@@ -99,12 +101,13 @@ def classified(pages: DataFrame, least: int = 0) -> DataFrame:
     return attach(base, firsts, ["digest"], "left", 96)
 
 
-def shards(keys: DataFrame, shard_bytes: int = SHARD_BYTES) -> list[tuple[int, int]]:
+def shards(keys: DataFrame, shard_bytes: int | None = None) -> list[tuple[int, int]]:
     """Key ranges [from, to] whose payloads have about shard_bytes: a histogram over ranges of keys, in which ranges
     with more are counted again until they are small or hold a single key. keys has (key, size)."""
-    lo, hi = keys.agg(F.min("key"), F.max("key")).first()
+    lo, hi, total = keys.agg(F.min("key"), F.max("key"), F.sum("size")).first()
     if lo is None:
         return []
+    shard_bytes = shard_bytes or min(SHARD_MOST, max(SHARD_LEAST, total // SHARD_PART))
     todo, found = [(lo, hi)], []
     while todo:
         a, b = todo.pop(0)
@@ -162,7 +165,7 @@ def _write(base: str, attempt: str, roll: int):
     return run
 
 
-def write(pages: DataFrame, base: str, least: int = 0, roll_bytes: int = ROLL_BYTES, shard_bytes: int = SHARD_BYTES) -> list[dict]:
+def write(pages: DataFrame, base: str, least: int = 0, roll_bytes: int = ROLL_BYTES, shard_bytes: int | None = None) -> list[dict]:
     """Write pages (key long, url string, payload binary) as an archive at the URI base; returns the manifest's rows.
 
     The driver holds a row for each key range and each file, not for records."""
