@@ -20,9 +20,11 @@ the earliest end; empty tables give an empty result; other columns are ignored.
 from __future__ import annotations
 
 import pickle
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -135,7 +137,15 @@ class Items:
         return [(i, *best[i]) for i in sorted(best)]
 
 
-_BUILT: dict[int, Items] = {}
+_BUILT: dict[str, Items] = {}
+
+
+def worker_items(name: str, block: Broadcast) -> Items:
+    """The worker's automaton of a block, kept from task to task; one at a time."""
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = Items(pickle.loads(block.value))
+    return _BUILT[name]
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
@@ -153,15 +163,11 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
 
 def matcher(rows: list[tuple[int, str]], spark):
     """A column function: text to the array of HITS against one block of items."""
-    block = spark.sparkContext.broadcast(pickle.dumps(rows))
+    block, name = spark.sparkContext.broadcast(pickle.dumps(rows)), uuid.uuid4().hex
 
     @F.arrow_udf(HITS)
     def hits(texts: pa.Array) -> pa.Array:
-        key = block.id if hasattr(block, "id") else id(block)
-        if key not in _BUILT:
-            _BUILT.clear()
-            _BUILT[key] = Items(pickle.loads(block.value))
-        items = _BUILT[key]
+        items = worker_items(name, block)
         out = [[dict(zip(("item_id", "distance", "first_word", "last_word"), h, strict=True)) for h in items.search(t)] for t in texts.to_pylist()]
         return pa.array(out, pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("first_word", pa.int32()), ("last_word", pa.int32())])))
 

@@ -21,9 +21,11 @@ from __future__ import annotations
 
 import collections
 import json
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -133,6 +135,15 @@ class Counter:
 _COUNTERS: dict[str, Counter] = {}
 
 
+def worker_counter(name: str, path: str, table: Broadcast) -> Counter:
+    """The worker's counter, kept from task to task; one at a time. Workers must import this function, for state that
+    a nested function refers to would be made anew in every task."""
+    if name not in _COUNTERS:
+        _COUNTERS.clear()
+        _COUNTERS[name] = Counter(path, table.value)
+    return _COUNTERS[name]
+
+
 def token_counts(docs: DataFrame, path: str, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """One row a document: doc_id, n_bytes, n_tokens, over_limit. `path` is a tokenizer file that all workers see."""
     spark = docs.sparkSession
@@ -141,13 +152,10 @@ def token_counts(docs: DataFrame, path: str, max_tokens: int = MAX_TOKENS) -> Da
     keys = [f" {w}" for w in frequent(docs)]
     own.learn(set(keys))
     shared = spark.sparkContext.broadcast({k: own.cache[k] for k in keys if k in own.cache})
-    name = f"{path}#{id(shared)}"
+    name = f"{path}#{uuid.uuid4().hex}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _COUNTERS:
-            _COUNTERS.clear()
-            _COUNTERS[name] = Counter(path, shared.value)
-        counter = _COUNTERS[name]
+        counter = worker_counter(name, path, shared)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             counts = []
