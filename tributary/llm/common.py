@@ -18,7 +18,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: A table is broadcast only if its measured size is at most this.
 BROADCAST_BYTES = 16 << 20
 #: Python workers get Arrow batches of at most so many bytes.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,7 +74,7 @@ def attach(big: DataFrame, table: DataFrame, on: list[str], how: str = "left", r
 
 def bound_batches(spark: SparkSession) -> None:
     """Keep the Arrow batches sent to Python small, whatever the length of single texts."""
-    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", 4096)):
+    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", 1024)):
         now = str(spark.conf.get(key)).rstrip("b")
         if not now.isdigit() or not 0 < int(now) <= most:
             spark.conf.set(key, str(most))
