@@ -351,11 +351,11 @@ def cursor_reset_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serve.decide(cursors, 9000, 1500, 2000)
 
 
-@query(f"WITH {EFFECTS_SQL} SELECT op_id, bucket, effect AS op, object_id, data FROM effects WHERE op_id > (SELECT count(*) - 1000 FROM events)")
+@query(f"WITH {EFFECTS_SQL} SELECT op_id, bucket, effect AS op, object_id, data FROM effects WHERE op_id > (SELECT count(*) // 2 FROM events)")
 def delta_since_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = read_table(spark, sf_dir, "events").count()
     found = effects_of(spark, sf_dir)
-    cursors = serve.decide(found.select("bucket").distinct().withColumn("after", F.lit(n - 1000)), n, 0, 0)
+    cursors = serve.decide(found.select("bucket").distinct().withColumn("after", F.lit(n // 2)), n, 0, 0)
     return serve.delta_entries(found, cursors).select("op_id", "bucket", "op", "object_id", "data")
 
 
