@@ -53,8 +53,11 @@ def trigrams(text: str) -> np.ndarray:
 
 def fit(labelled: DataFrame, rows: int = FIT_ROWS) -> tuple[list[str], np.ndarray]:
     """Languages and log probabilities [language, bucket] from labelled (doc_id, text, lang)."""
-    usable = labelled.select("doc_id", "text", "lang").filter(f"lang is not null and length(text) between 1 and {FIT_CHARS}")
-    sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "text", "lang").limit(rows).collect()  # at most FIT_ROWS short rows
+    usable = labelled.select("doc_id", "text", "lang").filter(f"lang is not null and length(text) between 1 and {FIT_CHARS}").withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)))
+    n = labelled.filter("lang is not null").count()
+    # hashes below a bound that lets about twice the wanted rows through, so that few rows are sorted and sent
+    few = usable.filter(F.col("h") < min(1 << 40, (rows * 2 << 40) // max(n, 1)))
+    sample = few.orderBy("h", "doc_id", "text", "lang").limit(rows).collect()  # at most FIT_ROWS short rows
     langs = sorted({r["lang"] for r in sample})
     counts = np.full((len(langs), BUCKETS), 0.1)
     for r in sample:
