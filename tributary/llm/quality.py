@@ -153,7 +153,7 @@ def score(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that are kept, with all their columns; counts are made twice rather than moved."""
     bound_batches(docs.sparkSession)
-    named = docs.select("*", stats_of(docs["text"]).alias("__q"))
+    named = docs.select("*", stats_of.asNondeterministic()(docs["text"]).alias("__q"))  # so that the planner makes the counts once a pass
     flat = lambda sql: re.sub(r"\b(" + "|".join(STATS.names) + r")\b", r"__q.\1", sql)
     voted = named.withColumn("__q_pattern", F.expr(flat(pattern_sql())).cast("long"))
     judged = judge(voted.select(F.col("__q_pattern").alias("pattern"), F.expr(flat(BASE_FAILED)).alias("failed"))).select(F.col("pattern").alias("__q_pattern"), F.col("posterior").alias("__q_good"))
