@@ -89,11 +89,10 @@ def chosen_paths(messages: DataFrame, best: int | None) -> DataFrame:
             break
         jumps.append(open_.select("tree", "id", "up"))
         above = state.select(F.col("tree").alias("t"), F.col("id").alias("i"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("steps").alias("steps2"))
-        joined = state.join(above, (state["tree"] == above["t"]) & (state["up"] == above["i"]), "left")
-        state = materialize(
-            joined.select("tree", "id", F.col("up2").alias("up"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps")),
-            "chat-jump",
-        )
+        # only messages that have not met their root go on; the others keep what they have
+        joined = open_.join(above, (open_["tree"] == above["t"]) & (open_["up"] == above["i"]))
+        onward = joined.select("tree", "id", F.col("up2").alias("up"), (F.col("total") + F.col("total2")).alias("total"), (F.col("steps") + F.col("steps2")).alias("steps"))
+        state = materialize(onward.unionByName(state.filter("up is null")), "chat-jump")
     parents = base.select(F.col("tree").alias("t"), F.col("parent").alias("p")).filter("p is not null").distinct()
     leaves = state.join(parents, (state["tree"] == parents["t"]) & (state["id"] == parents["p"]), "left_anti")
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc(F.col("total") / F.col("steps")), "id"))
