@@ -19,13 +19,19 @@ def decide(cursors: DataFrame, last_op_id: int, snapshot_floor: int, retained_fl
     return cursors.withColumn("mode", F.when(F.coalesce(after, F.lit(0)) == 0, "snapshot").when(reset, "reset").otherwise("delta"))
 
 
-def snapshot_entries(rows: DataFrame, cursors: DataFrame, last_op_id: int) -> DataFrame:
-    """Entries of whole buckets: documents by type and id with synthetic operation ids that end at last_op_id; a reset
-    begins with CLEAR, which takes the first. rows: (bucket, object_type, object_id, data)."""
+def snapshot_entries(rows: DataFrame, cursors: DataFrame, last_op_id: int, superseded: DataFrame | None = None) -> DataFrame:
+    """Entries of whole buckets: documents by type and id with synthetic operation ids that end at last_op_id. rows:
+    (bucket, object_type, object_id, data). A reset begins with CLEAR, which takes the first; so does a bucket of which
+    something is superseded (bucket, checksum), for CLEAR then carries that checksum and the sums agree."""
     wanted = cursors.filter("mode != 'delta'").select("bucket", (F.col("mode") == "reset").alias("reset"))
-    docs = rows.join(F.broadcast(wanted), "bucket").select("bucket", F.lit(1).alias("kind"), F.lit("PUT").alias("op"), "object_type", "object_id", "data", put_checksum(F.col("object_type"), F.col("object_id"), F.col("data")).alias("checksum"))
+    if superseded is None:
+        wanted = wanted.withColumn("old", F.lit(0).cast("long"))
+    else:
+        sums = superseded.select("bucket", F.col("checksum").cast("long").alias("old"))
+        wanted = wanted.join(sums, "bucket", "left").select("bucket", (F.col("reset") | (F.coalesce("old", F.lit(0)) != 0)).alias("reset"), F.coalesce("old", F.lit(0)).alias("old"))
+    docs = rows.join(F.broadcast(wanted.select("bucket")), "bucket").select("bucket", F.lit(1).alias("kind"), F.lit("PUT").alias("op"), "object_type", "object_id", "data", put_checksum(F.col("object_type"), F.col("object_id"), F.col("data")).alias("checksum"))
     none = F.lit(None).cast("string")
-    clears = wanted.filter("reset").select("bucket", F.lit(0).alias("kind"), F.lit("CLEAR").alias("op"), none.alias("object_type"), none.alias("object_id"), none.alias("data"), F.lit(0).cast("long").alias("checksum"))
+    clears = wanted.filter("reset").select("bucket", F.lit(0).alias("kind"), F.lit("CLEAR").alias("op"), none.alias("object_type"), none.alias("object_id"), none.alias("data"), F.col("old").alias("checksum"))
     own = Window.partitionBy("bucket")
     nth = F.row_number().over(own.orderBy("kind", "object_type", "object_id"))
     size = F.count(F.lit(1)).over(own)
@@ -75,27 +81,32 @@ def lines(checkpoints: DataFrame, entries: DataFrame, cursors: DataFrame, last_o
     """The response as (line_no, kind, bucket, page, json): a checkpoint, data pages by bucket, checkpoint_complete.
 
     Each page is one line, so a row holds `page` entries at most; only the checkpoint line has all buckets of a
-    request, whose number is bounded."""
+    request, whose number is bounded. Lines are numbered from the buckets' page counts, not by sorting them all."""
     asked = F.broadcast(cursors.select("bucket"))
     sums = asked.join(checkpoints, "bucket", "left").select("bucket", F.coalesce("count", F.lit(0)).alias("count"), F.coalesce("checksum", F.lit(0)).alias("checksum"))
     one = F.concat(F.lit('{"bucket":'), quoted(F.col("bucket")), F.lit(',"checksum":'), number(F.col("checksum")), F.lit(',"count":'), number(F.col("count")), F.lit(',"priority":3,"subscriptions":[{"default":0}]}'))
     stream = F.regexp_extract("bucket", r"^1#(.*?)\|", 1)
     head = sums.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("bucket", one.alias("j")))), lambda x: x["j"]), ",").alias("buckets"), F.array_join(F.transform(F.sort_array(F.collect_set(stream)), lambda s: F.concat(F.lit('{"name":'), quoted(s), F.lit(',"is_default":true,"errors":[]}'))), ",").alias("streams"))
-    head = head.select(F.lit(0).alias("part"), F.lit("checkpoint").alias("kind"), F.lit(None).cast("string").alias("bucket"), F.lit(0).cast("long").alias("page"), F.concat(F.lit(f'{{"checkpoint":{{"last_op_id":"{last_op_id}","write_checkpoint":null,"buckets":['), "buckets", F.lit('],"streams":['), "streams", F.lit("]}}")).alias("json"))
+    none = F.lit(None).cast("string")
+    outer = lambda line, kind, text: head.select(line.cast("long").alias("line_no"), F.lit(kind).alias("kind"), none.alias("bucket"), F.lit(0).cast("long").alias("page"), text.alias("json"))
+    first = outer(F.lit(0), "checkpoint", F.concat(F.lit(f'{{"checkpoint":{{"last_op_id":"{last_op_id}","write_checkpoint":null,"buckets":['), "buckets", F.lit('],"streams":['), "streams", F.lit("]}}")))
     order = Window.partitionBy("bucket").orderBy("op_id")
     numbered = entries.withColumn("page", F.floor((F.row_number().over(order) - 1) / page).cast("long"))
     bodies = numbered.groupBy("bucket", "page").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("op_id", entry_json().alias("j")))), lambda x: x["j"]), ",").alias("body"))
     chain = pages(entries, cursors, page)
-    data = bodies.join(chain, ["bucket", "page"]).select(
-        F.lit(1).alias("part"),
+    counts = chain.groupBy("bucket").agg(F.count(F.lit(1)).alias("lines"))  # a row a bucket of the request
+    before = counts.select("bucket", (F.sum("lines").over(Window.orderBy("bucket")) - F.col("lines")).alias("before"))
+    data = bodies.join(chain, ["bucket", "page"]).join(F.broadcast(before), "bucket").select(
+        (1 + F.col("before") + F.col("page")).cast("long").alias("line_no"),
         F.lit("data").alias("kind"),
         "bucket",
         "page",
         F.concat(F.lit('{"data":{"bucket":'), quoted(F.col("bucket")), F.lit(',"data":['), "body", F.lit('],"has_more":'), F.col("has_more").cast("string"), F.lit(',"after":"'), number(F.col("after")), F.lit('","next_after":"'), number(F.col("next_after")), F.lit('"}}')).alias("json"),
     )
-    tail = head.select(F.lit(2).alias("part"), F.lit("checkpoint_complete").alias("kind"), F.lit(None).cast("string").alias("bucket"), F.lit(0).cast("long").alias("page"), F.lit(f'{{"checkpoint_complete":{{"last_op_id":"{last_op_id}"}}}}').alias("json"))
-    every = head.unionByName(data).unionByName(tail)
-    return every.select((F.row_number().over(Window.orderBy("part", "bucket", "page")) - 1).cast("long").alias("line_no"), "kind", "bucket", "page", "json")
+    total = counts.agg((1 + F.coalesce(F.sum("lines"), F.lit(0))).cast("long").alias("line_no"))
+    done = F.lit(f'{{"checkpoint_complete":{{"last_op_id":"{last_op_id}"}}}}')
+    last = total.select("line_no", F.lit("checkpoint_complete").alias("kind"), none.alias("bucket"), F.lit(0).cast("long").alias("page"), done.alias("json"))
+    return first.unionByName(data).unionByName(last)
 
 
 def advance(cursors: DataFrame, last_op_id: int) -> DataFrame:

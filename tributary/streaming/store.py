@@ -27,6 +27,8 @@ EPOCH = 1 << 20
 
 CURRENT = T.StructType([T.StructField(n, T.StringType()) for n in ("object_type", "object_id", "data", "route")] + [T.StructField("op_id", T.LongType())])
 TAIL = T.StructType([T.StructField("op_id", T.LongType())] + [T.StructField(n, T.StringType()) for n in ("op", "object_type", "object_id", "data", "route", "previous_data", "previous_route")])
+#: What operations that are no longer in the log have superseded, by route.
+SUPERSEDED = T.StructType([T.StructField("bucket", T.StringType())] + [T.StructField(n, T.LongType()) for n in ("count", "checksum")])
 
 
 @dataclass(frozen=True)
@@ -80,7 +82,7 @@ class Store:
     def table(self, name: str, m: Manifest | None = None) -> DataFrame:
         """A table of a pinned manifest (the present one if none is given)."""
         m = m or self.manifest()
-        schema = {"current": CURRENT, "tail": TAIL}[name]
+        schema = {"current": CURRENT, "tail": TAIL, "superseded": SUPERSEDED}[name]
         paths = list((m.paths or {}).get(name, ())) if m else []
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
@@ -121,11 +123,16 @@ class Store:
         tail = self._write(cdc.enrich(ops, current).select(*TAIL.names), "tail", generation)
         state = self._write(cdc.latest(ops, current).select(*CURRENT.names), "current", generation)
         last = m.last_op_id + self.spark.read.schema(TAIL).parquet(tail).count()
+        old = m.paths.get("superseded", ())
         paths, floor = (*m.paths["tail"], tail), max(m.retained_floor, last - self.keep)
         if floor > m.retained_floor:
             whole = self.spark.read.schema(TAIL).parquet(*paths)
             paths = (self._write(cdc.retained(whole, last, self.keep), "tail", generation),)
-        return self._commit(replace(m, generation=generation, last_lsn=int(top), last_op_id=last, retained_floor=floor, paths={"current": (state,), "tail": paths}))
+            # sums go on counting what leaves the log, as clients received it
+            dropped = cdc.superseded_checkpoint(cdc.effects(whole.filter(F.col("op_id") <= last - self.keep), lambda route: route))
+            sums = self.table("superseded", m).unionByName(dropped).groupBy("bucket").agg(F.sum("count").alias("count"), cdc.checksum_sum().alias("checksum"))
+            old = (self._write(sums.select(*SUPERSEDED.names), "superseded", generation),)
+        return self._commit(replace(m, generation=generation, last_lsn=int(top), last_op_id=last, retained_floor=floor, paths={"current": (state,), "tail": paths, "superseded": old}))
 
     def clear(self, object_type: str | None = None) -> Manifest:
         """Take away all documents, or those of a type, with a new floor."""
