@@ -372,6 +372,19 @@ def snapshot_op_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serve.snapshot_entries(rows, cursors, last).select("bucket", "object_id", "op_id")
 
 
+@query(f"""WITH {EFFECTS_SQL},
+sent AS (SELECT bucket, sum({ENTRY_SQL}) AS t FROM effects GROUP BY bucket),
+docs AS (SELECT '1#users|0["' || route || '"]' AS bucket, sum({put_sql("'users'", 'object_id', 'data')}) AS t
+  FROM (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY op_id DESC) AS n FROM ops) WHERE n = 1 AND op = 'PUT' GROUP BY route)
+SELECT bucket, ((sent.t - coalesce(docs.t, 0))::HUGEINT % 4294967296)::BIGINT AS checksum FROM sent LEFT JOIN docs USING (bucket) WHERE (sent.t - coalesce(docs.t, 0))::HUGEINT % 4294967296 <> 0""")
+def clear_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What CLEAR carries for clients that begin anew: all that was ever sent, less the current documents."""
+    found = effects_of(spark, sf_dir)
+    cursors = serve.decide(found.select("bucket").distinct().withColumn("after", F.lit(None).cast("long")), 1 << 40, 0, 0)
+    entries = serve.snapshot_entries(current_rows(spark, sf_dir), cursors, 1 << 40, cdc.superseded_checkpoint(found))
+    return entries.filter("op = 'CLEAR'").select("bucket", "checksum")
+
+
 PAGES_SQL = """n AS (SELECT s, count(*) {extra} AS n FROM (SELECT o_orderstatus AS s FROM orders) GROUP BY s),
 pages AS (SELECT s, n, unnest(range(0, (n + 255) // 256)) AS page FROM n)
 SELECT '1#orders|0["' || s || '"]' AS bucket, page, least(n, (page + 1) * 256) - page * 256 AS n,
