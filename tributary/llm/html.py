@@ -5,11 +5,12 @@ with class and id), and it keeps the ways it is presented (sequence of child
 elements) and the contents it has, with the number of distinct pages of each.
 A node's importance is 0 if all pages have it alike and 1 if all differ: the
 entropy of its presentations and that of its contents, to the base of the
-number of pages, weighted by its number of children. Branches of low importance
-are noise of the site and are removed from each page. Elements that declare
+number of pages, weighted by its number of presentations. Branches of which all
+elements have low importance are noise of the site and are removed from each
+page; contents that differ keep an element, whatever its presentations. Elements that declare
 what they are (nav, footer, aside, form, script, a class naming an advert, a
 notice or comments, ...) have importance 0 from the start, and those that
-declare the article are kept, as are headings, paragraphs and lists in it.
+declare the article are kept, as is all in it that does not declare noise.
 
 Only hashes of paths, presentations and contents are shuffled, counted map-side
 first; the pages of a large host are counted by all tasks. What comes back to
@@ -37,7 +38,7 @@ from pyspark.sql import types as T
 
 from .common import attach, bound_batches, materialize
 
-#: Distinct pages a host must have, importance below which a branch is noise, weight of the content of one child.
+#: Distinct pages a host must have, importance below which a branch is noise, weight of the content of one presentation.
 MIN_PAGES, LOW, GAMMA = 8, 0.2, 0.9
 
 # Element names of the HTML standard, by what they mean here.
@@ -46,7 +47,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 NOISE_TAGS = frozenset("nav footer aside form script style noscript template iframe svg math canvas button select textarea object embed audio video dialog menu head title menuitem applet map".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-CONTENT_TAGS = frozenset("html body article main h1 h2 h3 h4 h5 h6 p pre blockquote ul ol li dl dt dd table tbody thead tr td th figure figcaption header b strong i em a code".split())
+PAGE_TAGS = frozenset("html body article main".split())
 # Words in class and id that name noise.
 NOISE_WORDS = frozenset(
     """ad ads advert adverts advertisement advertisements advertising adsense adslot sponsor sponsored sponsors promo promotion banner
@@ -167,7 +168,7 @@ def blocks(node: Node, low: frozenset[int] = frozenset(), keep: bool = False, ou
         if part.noise or (part.header and not keep):
             out.append([])
             continue
-        if part.path in low and not (part.tag in CONTENT_TAGS and (keep or part.tag in ("html", "body", "article", "main"))) and not holds_article(part):
+        if not keep and noisy(part, low) and not holds_article(part):
             out.append([])
             continue
         if part.tag in INLINE:
@@ -179,6 +180,11 @@ def blocks(node: Node, low: frozenset[int] = frozenset(), keep: bool = False, ou
     return out
 
 
+def noisy(node: Node, low: frozenset[int]) -> bool:
+    """Whether an element and all elements in it are noise."""
+    return node.noise or node.path in low and node.tag not in PAGE_TAGS and all(noisy(p, low) for p in node.parts if isinstance(p, Node))
+
+
 def holds_article(node: Node) -> bool:
     return node.tag in ("article", "main") or any(holds_article(p) for p in node.parts if isinstance(p, Node) and not p.noise)
 
@@ -204,12 +210,12 @@ def main_text(page: str | None, low: frozenset[int] = frozenset()) -> str:
     return " ".join(out)
 
 
-def style_nodes(page: str | None) -> list[tuple[int, int, int, int]]:
-    """(path, presentation, content, children) of every style node of a page that is not declared noise; repeated
+def style_nodes(page: str | None) -> list[tuple[int, int, int]]:
+    """(path, presentation, content) of every style node of a page that is not declared noise; repeated
     paths are one node with the contents of all."""
     import xxhash
 
-    found: dict[int, tuple[list[str], list[str], int]] = {}
+    found: dict[int, tuple[list[str], list[str]]] = {}
 
     def walk(node: Node) -> str:
         text: list[str] = []
@@ -222,23 +228,23 @@ def style_nodes(page: str | None) -> list[tuple[int, int, int, int]]:
                 text.append(walk(p))
         whole = " ".join(t for t in text if t)
         if node.path:
-            styles, texts, n = found.get(node.path, ([], [], 0))
+            styles, texts = found.get(node.path, ([], []))
             # repeated children count once: a list of three or of four items is presented alike
-            found[node.path] = (styles + list(dict.fromkeys(children)), texts + [whole], max(n, len(set(children))))
+            found[node.path] = (styles + list(dict.fromkeys(children)), texts + [whole])
         return whole
 
     walk(tree(page or ""))
     low64 = lambda s: xxhash.xxh64_intdigest(s) >> 1
-    return [(path, low64("|".join(s)), low64("\n".join(t)), n) for path, (s, t, n) in found.items()]
+    return [(path, low64("|".join(s)), low64("\n".join(t))) for path, (s, t) in found.items()]
 
 
-NODES = T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("path", "shape", "content", "children")]))
-NODES_ARROW = pa.list_(pa.struct([(n, pa.int64()) for n in ("path", "shape", "content", "children")]))
+NODES = T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("path", "shape", "content")]))
+NODES_ARROW = pa.list_(pa.struct([(n, pa.int64()) for n in ("path", "shape", "content")]))
 
 
 @F.arrow_udf(NODES)
 def nodes_of(pages: pa.Array) -> pa.Array:
-    return pa.array([[dict(zip(("path", "shape", "content", "children"), x, strict=True)) for x in style_nodes(p)] for p in pages.to_pylist()], NODES_ARROW)
+    return pa.array([[dict(zip(("path", "shape", "content"), x, strict=True)) for x in style_nodes(p)] for p in pages.to_pylist()], NODES_ARROW)
 
 
 def host_of(url: Column) -> Column:
@@ -248,18 +254,18 @@ def host_of(url: Column) -> Column:
 def noise_paths(pages: DataFrame) -> DataFrame:
     """(host, low): paths whose importance in the host's style tree is low. pages has (url, html)."""
     seen = pages.select(host_of(F.col("url")).alias("host"), F.xxhash64("html").alias("page"), F.explode(nodes_of("html")).alias("n")).select("host", "page", "n.*").distinct()
-    both = seen.select("host", "path", "children", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("shape").alias("value")), F.struct(F.lit(1).alias("kind"), F.col("content").alias("value")))).alias("v"))
-    counts = both.groupBy("host", "path", "v.kind", "v.value").agg(F.count(F.lit(1)).alias("c"), F.max("children").alias("children"))
+    both = seen.select("host", "path", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("shape").alias("value")), F.struct(F.lit(1).alias("kind"), F.col("content").alias("value")))).alias("v"))
+    counts = both.groupBy("host", "path", "v.kind", "v.value").agg(F.count(F.lit(1)).alias("c"))
     # entropy of counts c with sum m: log m - sum(c log c) / m
     per = counts.groupBy("host", "path").agg(
         *[F.sum(F.when(F.col("kind") == k, F.col("c") * F.log("c")).otherwise(0.0)).alias(f"s{k}") for k in (0, 1)],
         F.sum(F.when(F.col("kind") == 0, F.col("c")).otherwise(0)).alias("m"),
-        F.max("children").alias("children"),
+        F.sum(F.when(F.col("kind") == 0, 1).otherwise(0)).alias("presentations"),
     )
     entropy = lambda k: (F.log("m") - F.col(f"s{k}") / F.col("m")) / F.log("m")
-    weight = F.pow(F.lit(GAMMA), F.col("children"))
+    weight = F.pow(F.lit(GAMMA), F.col("presentations"))
     importance = (1 - weight) * entropy(0) + weight * entropy(1)
-    low = per.filter(F.col("m") >= MIN_PAGES).filter(importance < LOW)
+    low = per.filter(F.col("m") >= MIN_PAGES).filter((importance < LOW) & (entropy(1) < LOW))
     return materialize(low.groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("low")), "html-noise")
 
 
