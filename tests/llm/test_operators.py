@@ -143,11 +143,31 @@ def test_quality(spark, odd, docs):
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
     judged = quality.score(docs).join(labels, "doc_id").filter("not base_failed").collect()
     assert sum(r.kept for r in judged if r.quality == 1) >= 0.98 * sum(r.quality == 1 for r in judged)
+    assert sum(r.quality == 0 for r in judged) > 2 and not any(r.kept for r in judged if r.quality == 0)
+    one_bad_vote = quality.score(docs).filter("kept and (n_words < 100 or n_dup_lines * 10 > n_words)").count()
+    assert one_bad_vote > 5  # not all-must-pass
     kept = {r.doc_id for r in quality.score(docs).filter("kept").collect()}
     assert {r.doc_id for r in quality.keep_good(docs).collect()} == kept
     assert quality.score(odd.limit(0)).count() == 0 and quality.keep_good(odd).columns == odd.columns
 
 
+def test_quality_fit_recovers_accuracies():
+    """Votes drawn with known, unequal accuracies: they are found, and the posterior beats all-must-pass."""
+    rng = np.random.default_rng(9)
+    n = len(quality.RULES)
+    bad_on_bad = np.array([0.9, 0.7, 0.6, 0.3, 0.5, 0.2, 0.8, 0.4])[:n]
+    bad_on_good = np.array([0.02, 0.2, 0.01, 0.25, 0.05, 0.2, 0.1, 0.3])[:n]
+    good = rng.random(40_000) < 0.85
+    bad_vote = rng.random((len(good), n)) < np.where(good[:, None], bad_on_good, bad_on_bad)
+    votes = np.where(rng.random((len(good), n)) < 0.1, 2, 1 - bad_vote)
+    patterns, at, counts = np.unique(votes @ 3 ** np.arange(n), return_inverse=True, return_counts=True)
+    model = quality.fit(patterns, counts.astype(float), n)
+    assert abs(model["share"] - 0.85) < 0.03
+    assert np.abs(model["votes"][0, :, 0] - bad_on_bad).max() < 0.08 and np.abs(model["votes"][1, :, 0] - bad_on_good).max() < 0.03
+    kept = (quality.posterior(patterns, model, n) >= 0.5)[at]
+    assert (kept == good).mean() > 0.95 and ((votes != 0).all(axis=1) == good).mean() < 0.6
+
+
 # -- 5 -----------------------------------------------------------------------------------------------------------------
 
 
