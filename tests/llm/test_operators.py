@@ -187,6 +187,24 @@ def test_tokens(spark, odd):
     assert all(r.over_limit == (r.n_tokens > 1024) for r in got) and tokens.token_counts(odd.limit(0), path).count() == 0
 
 
+def test_token_caches_are_bounded():
+    """Texts without spaces, and more words than the cache holds."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    library, counter = Tokenizer.from_file(path), tokens.Counter(path, cache_bytes=1 << 20)
+    rng = np.random.default_rng(4)
+    han = ["".join(chr(0x4E00 + int(x)) for x in rng.integers(0, 20_000, 2000)) for _ in range(200)]
+    words = [" ".join(f"w{int(x)}" for x in rng.integers(0, 10**9, 2000)) for _ in range(40)]
+    for texts in (han[:100], han[100:], *[words[i : i + 4] for i in range(0, 40, 4)], words[:4]):
+        assert counter.count(texts) == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+        for cache in (counter.stretches, counter.pre):
+            assert cache.bytes <= 1 << 19 and sum(map(len, cache.kept)) * 4 <= cache.bytes
+    assert sum(map(len, tokens.groups(["x" * 10] * 7 + ["y" * 50, None], chars=30, rows=4))) == 9
+    assert [len(g) for g in tokens.groups(["x" * 10] * 7 + ["y" * 50, None], chars=30, rows=4)] == [3, 3, 1, 1, 1]
+
+
 # -- 6 -----------------------------------------------------------------------------------------------------------------
 
 

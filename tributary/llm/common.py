@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but ASCII white space.
@@ -27,9 +27,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only if the session names none."""
+    """The folder that driver and executors share; a temporary one only if a local session names none."""
     found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         found = f"file://{tempfile.mkdtemp(prefix='tributary-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -61,15 +63,42 @@ def release(df: DataFrame) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def small(df: DataFrame, row_bytes: int = 64) -> bool:
-    """Whether a materialized table fits the broadcast bound, by its counted rows."""
-    return df.count() * row_bytes <= BROADCAST_BYTES
-
-
-def attach(big: DataFrame, table: DataFrame, on: list[str], how: str = "left", row_bytes: int = 64) -> DataFrame:
-    """Join a large table with a materialized one: broadcast if its counted size is within the bound, else a
+def lowest(df: DataFrame, keys: list[Column], rows: int) -> list[Row]:
+    """A sample of a fixed number of rows, for a fit: those whose keys hash lowest, in that order, fewer if there are
+    not so many. The rows to be sorted are bounded first, by a hash that lets about twice the wanted number through."""
+    hashed = df.withColumn("__low", F.pmod(F.xxhash64(*keys), F.lit(1 << 40)))
+    n = df.count()
+    bound = min(1 << 40, (rows * 2 << 40) // max(n, 1))
+    return hashed.filter(F.col("__low") < bound).orderBy("__low", *keys).limit(rows).collect()  # at most `rows` rows
+
+
+def size_of(df: DataFrame) -> int:
+    """Bytes of a materialized table as rows in memory: eight a column and row, sixteen more for texts and arrays
+    with their contents."""
+    parts = [F.lit(16)]
+    for f in df.schema.fields:
+        kind = f.dataType.typeName()
+        if kind == "array":
+            parts.append(F.lit(24) + 8 * F.coalesce(F.size(f"`{f.name}`"), F.lit(0)))
+        elif kind in ("string", "binary"):
+            parts.append(F.lit(24) + F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0)))
+        else:
+            parts.append(F.lit(8 if kind != "struct" else 64))
+    total = parts[0]
+    for x in parts[1:]:
+        total = total + x
+    return df.agg(F.sum(total)).first()[0] or 0
+
+
+def small(df: DataFrame) -> bool:
+    """Whether a materialized table fits the broadcast bound, by the measured size of its rows."""
+    return size_of(df) <= BROADCAST_BYTES
+
+
+def attach(big: DataFrame, table: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """Join a large table with a materialized one: broadcast if its measured size is within the bound, else a
     shuffled join, whose hot keys the adaptive planner splits (both sides are plain exchanges)."""
-    return big.join(F.broadcast(table) if small(table, row_bytes) else table, on, how)
+    return big.join(F.broadcast(table) if small(table) else table.hint("merge"), on, how)
 
 
 def bound_batches(spark: SparkSession) -> None:

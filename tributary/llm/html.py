@@ -309,7 +309,7 @@ def importances(pages: DataFrame) -> DataFrame:
     """(host, path, pages, content, importance) of the style tree's nodes. pages has (url, html)."""
     own = pages.select(host_of(F.col("url")).alias("host"), F.xxhash64("html").alias("page"), "html")
     copies = materialize(own.groupBy("host", "page").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1"), "html-copies")
-    seen = attach(own.select("host", "page", nodes_of("html").alias("nodes")), copies, ["host", "page"], "left", 64)
+    seen = attach(own.select("host", "page", nodes_of("html").alias("nodes")), copies, ["host", "page"], "left")
     # every copy of a page weighs its part of one page
     seen = seen.select("host", (1 / F.coalesce("copies", F.lit(1))).alias("w"), F.explode("nodes").alias("n")).select("host", "w", "n.*")
     # of a feature with counts c on its pages and sum N: its entropy is log N - sum(c log c) / N
@@ -347,7 +347,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """One row a page: page_id, url, text, n_chars."""
     bound_batches(pages.sparkSession)
     base = pages.select("page_id", "url", "html")
-    known = attach(base.withColumn("host", host_of(F.col("url"))), noise_paths(base), ["host"], "left", 4096)
+    known = attach(base.withColumn("host", host_of(F.col("url"))), noise_paths(base), ["host"], "left")
     kind = pages.schema["page_id"].dataType.simpleString()
     texts = known.select("page_id", "url", "html", "low").mapInArrow(_extract, f"page_id {kind}, url string, text string")
     return texts.withColumn("n_chars", F.char_length("text").cast("long"))

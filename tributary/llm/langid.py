@@ -124,7 +124,7 @@ def fuse(rows: DataFrame, langs: list[str]) -> DataFrame:
         right = min(max(trust[c], 1 / n + 0.01), 0.99)
         return F.when(known(c), F.when(F.col(c) == langs[i], F.log(F.lit(right))).otherwise(F.log(F.lit((1 - right) / max(1, n - 1))))).otherwise(0.0)
 
-    joined = attach(rows, priors, ["host"], "left", 64 + 8 * n)
+    joined = attach(rows, priors, ["host"], "left")
     logs = F.array(*[F.col("ll")[i] + F.log(F.greatest(F.col("prior")[i], F.lit(1e-12))) + said("declared", i) + said("address", i) for i in range(n)])
     fused = joined.withColumn("post", posterior(logs))
     names = F.array(*[F.lit(x) for x in langs])

@@ -52,7 +52,7 @@ def removals(docs: DataFrame, span: int = SPAN) -> DataFrame:
     found = windows(docs, span)
     first = found.groupBy("h1", "h2").agg(F.min(order_key()).alias("at"), F.max(order_key()).alias("last")).filter("at != last").select("h1", "h2", "at")
     first = materialize(first, "lines-first")
-    later = attach(found.withColumn("key", order_key()), first, ["h1", "h2"], "inner", 96).filter("key != at")
+    later = attach(found.withColumn("key", order_key()), first, ["h1", "h2"], "inner").filter("key != at")
     covered = F.explode(F.sequence(F.col("pos"), F.col("pos") + span - 1))
     # a document's positions are bounded by its own lines; the set is built map-side first
     return later.select("doc_id", "sign", covered.alias("pos")).groupBy("doc_id", "sign").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
@@ -62,7 +62,7 @@ def dedup_lines(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """docs with later occurrences of repeated passages removed from text, and lines_removed (long) added last."""
     gone = materialize(removals(docs, span), "lines-gone").select(F.col("doc_id").alias("__ld_id"), F.col("sign").alias("__ld_sign"), F.col("gone").alias("__ld_gone"))
     same = docs["doc_id"].eqNullSafe(gone["__ld_id"]) & (F.xxhash64(docs["text"]) == gone["__ld_sign"])
-    joined = docs.join(F.broadcast(gone) if small(gone, 256) else gone, same, "left")
+    joined = docs.join(F.broadcast(gone) if small(gone) else gone, same, "left")
     lines = lines_of(docs["text"])
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__ld_gone"))
     cleaned = F.when(F.col("__ld_gone").isNull(), docs["text"]).otherwise(F.concat_ws("\n", F.transform(kept, lambda p: F.element_at(lines, p + 1))))

@@ -136,7 +136,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
     plan = materialize(targets.join(cuts.select("skey", "end"), "skey").join(fills.groupBy("skey").agg(F.collect_list("h").alias("extra")), "skey", "left"), "mix-plan")
     partial = (F.col("h") < F.col("end")) | F.coalesce(F.array_contains("extra", F.col("h")), F.lit(False))
     copies = F.when(F.col("size") > 0, F.col("whole") + partial.cast("long")).otherwise(F.lit(0)).cast("long")
-    return attach(rows, plan, ["skey"], "inner", 256).withColumn("copies", copies).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+    return attach(rows, plan, ["skey"], "inner").withColumn("copies", copies).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
@@ -144,7 +144,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     joined by id; if an id occurs in several sources, the largest of their copies holds for all its rows."""
     picked = materialize(mix(docs), "mix-picked")
     plan = materialize(picked.filter("copies > 0").groupBy("doc_id").agg(*[F.max(c).alias(f"__mix_{c}") for c in ("source_size", "target", "copies")]).withColumnRenamed("doc_id", "__mix_id"), "mix-copies")
-    joined = docs.join(F.broadcast(plan) if small(plan, 64) else plan, docs["doc_id"].eqNullSafe(plan["__mix_id"]), "inner")
+    joined = docs.join(F.broadcast(plan) if small(plan) else plan, docs["doc_id"].eqNullSafe(plan["__mix_id"]), "inner")
     size = word_count(F.col("text"))
     own = [docs[c] for c in docs.columns if c not in ("size", "source_size", "target", "taken", "copies")]
     return joined.filter(size > 0).select(*own, size.alias("size"), F.col("__mix_source_size").alias("source_size"), F.col("__mix_target").alias("target"), (size * F.col("__mix_copies")).alias("taken"), F.col("__mix_copies").alias("copies"))

@@ -253,7 +253,7 @@ def near_dups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row a document: doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable)."""
     prints = fingerprints(docs)
     known = classes_of(prints, radius)
-    joined = attach(prints, known, ["fp"], "left", 24)
+    joined = attach(prints, known, ["fp"], "left")
     return joined.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
@@ -349,7 +349,7 @@ def row_key() -> Column:
 def sets_of(ids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """(id, set): the shingle sets of some classes, made again from the text of one row of each."""
     wanted = materialize(classes.join(ids.select("id").distinct(), "id", "left_semi").select("row"), "simhash-wanted")
-    texts = attach(docs.select("text", row_key().alias("row")), wanted, ["row"], "left_semi", 16).select("text")
+    texts = attach(docs.select("text", row_key().alias("row")), wanted, ["row"], "left_semi").select("text")
     return materialize(texts.mapInArrow(_sets, "id long, set array<long>").dropDuplicates(["id"]), "simhash-sets")
 
 
@@ -479,7 +479,7 @@ def similar_classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[Da
     listed = classes.filter("size > 0").select("id", "size", *PRINT_WORDS, *packed, F.posexplode("keys").alias("t", "k")).withColumn("list", F.xxhash64("t", "k")).drop("k")
     near = verified(compared(listed, wide_radius(similarity, NEAR), PRINT_WORDS, ["size"], similarity), classes, docs, similarity)
     joined = components(near).withColumnRenamed("node", "id")
-    labelled = parted(attach(listed, joined, ["id"], "left", 24).withColumn("label", F.coalesce("label", "id")))
+    labelled = parted(attach(listed, joined, ["id"], "left").withColumn("label", F.coalesce("label", "id")))
     radius = wide_radius(similarity, WIDEST)
     columns = ["list", "id", "size", "part", "t", "label", *PRINT_WORDS, *KEY_WORDS]
     dealt = labelled.select(columns).repartition("list").sortWithinPartitions("list")
@@ -506,16 +506,16 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     where bits are coarser: one in 10,000)."""
     prints, classes, found = similar_classes(docs, similarity)
     label = F.coalesce("label", "id").alias("label")
-    rows = materialize(attach(prints.select("doc_id", "row", "id"), found.withColumnRenamed("node", "id"), ["id"], "left", 24).select("doc_id", "row", label), "simhash-rows")
+    rows = materialize(attach(prints.select("doc_id", "row", "id"), found.withColumnRenamed("node", "id"), ["id"], "left").select("doc_id", "row", label), "simhash-rows")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     groups = materialize(rows.groupBy("label").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("label", "first"), "simhash-groups")
-    judged = attach(rows, groups, ["label"], "inner", 48)
+    judged = attach(rows, groups, ["label"], "inner")
     gone = materialize(judged.filter(order != F.col("first")).select(F.col("doc_id").alias("__sh_id"), F.col("row").alias("__sh_row")).distinct(), "simhash-gone")
     again = materialize(judged.filter(order == F.col("first")).groupBy("doc_id", "row").count().filter("count > 1").select(F.col("doc_id").alias("__sh_id"), F.col("row").alias("__sh_row")), "simhash-again")
 
     def among(df: DataFrame, table: DataFrame, how: str) -> DataFrame:
         same = df["doc_id"].eqNullSafe(table["__sh_id"]) & (F.xxhash64(df["doc_id"], df["text"]) == table["__sh_row"])
-        return df.join(F.broadcast(table) if small(table, 32) else table, same, how)
+        return df.join(F.broadcast(table) if small(table) else table, same, how)
 
     left = among(docs, gone, "left_anti")
     if again.isEmpty():

@@ -98,7 +98,7 @@ def classified(pages: DataFrame, least: int = 0) -> DataFrame:
     base = base.withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload").cast("long"))
     firsts = base.filter(F.col("size") >= least).groupBy("digest").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     firsts = materialize(firsts.select("digest", "first"), "warc-firsts")
-    return attach(base, firsts, ["digest"], "left", 96)
+    return attach(base, firsts, ["digest"], "left")
 
 
 def shards(keys: DataFrame, shard_bytes: int | None = None) -> list[tuple[int, int]]:
