@@ -1,18 +1,23 @@
 """Mixing sources to target weights by hash-threshold histograms.
 
-Each source gets a budget of words. Documents are ordered by a hash of their
-id; a source takes the hash prefix whose words come nearest to its budget. The
-threshold is found level by level: a histogram of words by (source, hash
-bucket) shows the boundary bucket, and only that bucket is counted again with
-finer buckets. Nothing is sorted; documents are then filtered by comparing
-their hash with the threshold of their source. Because a threshold only grows
-with its budget, mixes of growing budgets are nested. After the threshold a few
-single documents fill what the boundary left over.
+Each source gets a budget of words. Documents are ordered by a hash of id and
+text; a source takes the hash prefix that fills its budget, the boundary
+position only as far as there is room. The threshold is found level by level: a
+histogram of words by (source, hash bucket) shows the boundary bucket, and only
+that bucket is counted again with finer buckets. Nothing is sorted; documents
+are then filtered by comparing their hash with the threshold of their source.
+Because a threshold only grows with its budget, mixes of growing budgets are
+nested: no document gives fewer words to the larger one.
+
+The document at the boundary gives its first `taken` words, so that a source of
+few long documents meets its target too; all others are taken whole, once or
+`most` times.
 
 Defined cases: null or empty text has size 0 and is never taken; a null source
-is a source of its own, ranked last; rows with equal doc_id (repeated rows, or
-null ids) share a hash and are taken together; an empty table gives an empty
-result; other columns are ignored.
+is a source of its own, ranked last; rows that repeat an id and a text share a
+position, and if that is the boundary each gives the same part of its words;
+rows with equal or null ids and other texts are told apart by the text; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,21 +27,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import attach, materialize, small, word_count
+from .common import attach, materialize, word_count
 
 #: Cycle of source weights, by rank of the source name.
 WEIGHTS = (5, 2, 1)
 #: The mix holds this share of all words, and at most so many times a source's own.
 SHARE, MOST = 1.5, 2
 #: Hash digits (hexadecimal) refined at each level, and levels.
-DIGITS, LEVELS = 3, 3
-#: Single documents that may fill what the boundary bucket left over, one a round.
-FILLS = 2
+DIGITS, LEVELS = 3, 4
 
 
-def position(doc_id: Column) -> Column:
-    """The place of a document in its source's order: the first 36 bits of its id's MD5."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("null"))), 1, DIGITS * LEVELS), 16, 10).cast("long")
+def position(doc_id: Column, text: Column) -> Column:
+    """The place of a document in its source's order: the first 48 bits of an MD5 of its id and its text's MD5."""
+    key = F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(" "), F.md5(F.coalesce(text, F.lit(""))))
+    return F.conv(F.substring(F.md5(key), 1, DIGITS * LEVELS), 16, 10).cast("long")
 
 
 def source_key(source: Column) -> Column:
@@ -72,21 +76,22 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: fl
     )
 
 
-def thresholds(units: DataFrame, budgets: DataFrame) -> DataFrame:
-    """For each (skey, budget) the threshold below which positions are taken, and the words so taken.
+def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
+    """(skey, end, room, unit) for each (skey, budget): positions below `end` are taken, and of the words at it (unit)
+    as many as there is room for.
 
-    units has (skey, h, size): the words at each position. Level after level a histogram of the boundary bucket alone
-    is made; after the last level the boundary is a single position, which is taken if that comes nearer."""
+    rows has (skey, h, size). Level after level a histogram of the boundary bucket alone is made, straight from the
+    rows; at the last level a bucket is a single position."""
     found = budgets.select("skey", "budget", F.lit(0).cast("long").alias("base"))
     whole = 16**DIGITS
-    by = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    by = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)  # of 16 ** DIGITS rows
     boundary = done = None
     for level in range(1, LEVELS + 1):
-        rows = units.withColumn("bucket", F.floor(F.col("h") / F.lit(whole ** (LEVELS - level))))
+        part = rows.withColumn("bucket", F.floor(F.col("h") / F.lit(whole ** (LEVELS - level))))
         if boundary is not None:
-            rows = attach(rows.withColumn("prefix", F.floor(F.col("bucket") / F.lit(whole))), boundary, ["skey", "prefix"], "left_semi")
-        histogram = rows.groupBy("skey", "bucket").agg(F.sum("size").alias("words"))
-        walked = histogram.join(found, "skey").withColumn("upto", F.col("base") + F.sum("words").over(by))
+            part = attach(part.withColumn("prefix", F.floor(F.col("bucket") / F.lit(whole))), boundary, ["skey", "prefix"], "left_semi")
+        histogram = part.groupBy("skey", "bucket").agg(F.sum("size").alias("words"))
+        walked = attach(histogram, found, ["skey"], "inner").withColumn("upto", F.col("base") + F.sum("words").over(by))
         over = F.col("upto") > F.col("budget")
         found = materialize(
             walked.groupBy("skey").agg(
@@ -100,52 +105,47 @@ def thresholds(units: DataFrame, budgets: DataFrame) -> DataFrame:
         if level < LEVELS:
             closed = found.filter("prefix is null")
             done = closed if done is None else done.unionByName(closed)
-            found = found.filter("prefix is not null")
-            boundary = found.select("skey", "prefix")
-            found = found.select("skey", "budget", "base")
-        else:
-            found = found.unionByName(done)
-    nearer = (F.col("base") + F.col("unit") - F.col("budget")) < (F.col("budget") - F.col("base"))
-    end = F.when(F.col("prefix").isNull(), F.lit(whole**LEVELS)).when(nearer, F.col("prefix") + 1).otherwise(F.col("prefix"))
-    took = F.col("base") + F.when(F.col("prefix").isNotNull() & nearer, F.col("unit")).otherwise(F.lit(0))
-    return found.select("skey", "budget", end.cast("long").alias("end"), took.alias("took"))
+            boundary = materialize(found.filter("prefix is not null").select("skey", "prefix"), "mix-boundary")
+            found = materialize(found.filter("prefix is not null").select("skey", "budget", "base"), "mix-open")
+    found = found.unionByName(done)
+    return found.select("skey", F.coalesce("prefix", F.lit(whole**LEVELS)).cast("long").alias("end"), F.floor(F.col("budget") - F.col("base")).cast("long").alias("room"), F.coalesce("unit", F.lit(1)).cast("long").alias("unit"))
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """One row a document: doc_id, source, size, source_size, target (of its source), taken (words, repeats counted)
-    and copies (0 to `most`); reruns agree, since positions depend on ids alone."""
-    rows = materialize(
-        docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), source_key(F.col("source")).alias("skey"), position(F.col("doc_id")).alias("h")),
-        "mix-sizes",
-    )
+def measured(docs: DataFrame, *columns: str) -> DataFrame:
+    """Some columns of docs, with what decides about a document: __size, __skey and __h."""
+    return docs.select(*[docs[c] for c in columns], word_count(docs["text"]).alias("__size"), source_key(docs["source"]).alias("__skey"), position(docs["doc_id"], docs["text"]).alias("__h"))
+
+
+def plan_of(rows: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """One row a source: __skey, __source_size, __target, __whole (copies of every document), __end, __room, __unit."""
+    rows = rows.select(F.col("__skey").alias("skey"), F.col("__size").alias("size"), F.col("__h").alias("h"))
     sizes = rows.groupBy("skey").agg(F.sum("size").alias("source_size"))
     # whole copies come first; the threshold decides on the rest of the budget
     whole = F.when(F.col("source_size") > 0, F.least(F.lit(most - 1), F.floor(F.col("target") / F.col("source_size")))).otherwise(F.lit(0)).cast("long")
     targets = materialize(source_targets(sizes, weights, share, most).withColumn("whole", whole).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size")), "mix-targets")
-    units = rows.groupBy("skey", "h").agg(F.sum("size").alias("size"))
-    cuts = thresholds(units, targets)
-    fills = None
-    for _ in range(FILLS):
-        open_ = attach(units.filter("size > 0"), materialize(cuts, "mix-cuts"), ["skey"], "inner").filter((F.col("h") >= F.col("end")) & (F.col("size") <= F.col("budget") - F.col("took")))
-        if fills is not None:
-            open_ = open_.join(fills, ["skey", "h"], "left_anti")
-        best = open_.groupBy("skey").agg(F.max(F.struct("size", (-F.col("h")).alias("back"))).alias("x")).select("skey", (-F.col("x.back")).alias("h"), F.col("x.size").alias("more"))
-        best = materialize(best, "mix-fill")
-        fills = best.select("skey", "h") if fills is None else fills.unionByName(best.select("skey", "h"))
-        cuts = cuts.join(best.select("skey", "more"), "skey", "left").select("skey", "budget", "end", (F.col("took") + F.coalesce("more", F.lit(0))).alias("took"))
-    plan = materialize(targets.join(cuts.select("skey", "end"), "skey").join(fills.groupBy("skey").agg(F.collect_list("h").alias("extra")), "skey", "left"), "mix-plan")
-    partial = (F.col("h") < F.col("end")) | F.coalesce(F.array_contains("extra", F.col("h")), F.lit(False))
-    copies = F.when(F.col("size") > 0, F.col("whole") + partial.cast("long")).otherwise(F.lit(0)).cast("long")
-    return attach(rows, plan, ["skey"], "inner").withColumn("copies", copies).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+    plan = targets.drop("budget").join(thresholds(rows, targets), "skey")
+    return materialize(plan.select(*[F.col(c).alias(f"__{c}") for c in ("skey", "source_size", "target", "whole", "end", "room", "unit")]), "mix-plan")
 
 
-def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The documents that the mix takes, each once, with size, source_size, target, taken and copies. Documents are
-    joined by id; if an id occurs in several sources, the largest of their copies holds for all its rows."""
-    picked = materialize(mix(docs), "mix-picked")
-    plan = materialize(picked.filter("copies > 0").groupBy("doc_id").agg(*[F.max(c).alias(f"__mix_{c}") for c in ("source_size", "target", "copies")]).withColumnRenamed("doc_id", "__mix_id"), "mix-copies")
-    joined = docs.join(F.broadcast(plan) if small(plan) else plan, docs["doc_id"].eqNullSafe(plan["__mix_id"]), "inner")
-    size = word_count(F.col("text"))
-    own = [docs[c] for c in docs.columns if c not in ("size", "source_size", "target", "taken", "copies")]
-    return joined.filter(size > 0).select(*own, size.alias("size"), F.col("__mix_source_size").alias("source_size"), F.col("__mix_target").alias("target"), (size * F.col("__mix_copies")).alias("taken"), F.col("__mix_copies").alias("copies"))
+def taken_words() -> Column:
+    part = F.when(F.col("__h") < F.col("__end"), F.col("__size")).when(F.col("__h") == F.col("__end"), F.floor(F.col("__size") * F.col("__room") / F.col("__unit"))).otherwise(F.lit(0))
+    return (F.col("__size") * F.col("__whole") + part).cast("long")
 
+
+def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """One row a document: doc_id, source, size, source_size, target (of its source), taken (words, repeats counted)
+    and copies (0 to `most`, the last of them cut if taken is not a multiple of size); reruns agree, since positions
+    depend on ids and texts alone."""
+    rows = materialize(measured(docs, "doc_id", "source"), "mix-sizes")
+    joined = attach(rows, plan_of(rows, weights, share, most), ["__skey"], "inner").withColumn("taken", taken_words())
+    copies = F.when(F.col("__size") > 0, F.ceil(F.col("taken") / F.col("__size"))).otherwise(F.lit(0)).cast("long")
+    return joined.select("doc_id", "source", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), "taken", copies.alias("copies"))
+
+
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The documents that the mix takes, each once, with size, source_size, target, taken and copies. What is taken of
+    a row follows from its id, text and source and the plan of its source, so that no row is matched with another."""
+    rows = materialize(measured(docs), "mix-sizes")
+    names = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken", "copies")]
+    joined = attach(measured(docs, *names), plan_of(rows), ["__skey"], "inner").withColumn("__taken", taken_words()).filter("__taken > 0")
+    return joined.select(*[joined[f"`{c}`"] for c in names], F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__taken").alias("taken"), F.ceil(F.col("__taken") / F.col("__size")).cast("long").alias("copies"))

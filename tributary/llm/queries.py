@@ -113,7 +113,7 @@ MIXING_SQL = r"""
 WITH docs AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS k,
          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 9))::BIGINT AS h
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ' ' || md5(coalesce(text, ''))), 1, 12))::BIGINT AS h
   FROM documents),
 sources AS (
   SELECT k, sum(size)::BIGINT AS s, [5, 2, 1][((row_number() OVER (ORDER BY k) - 1) % 3)::INT + 1]::BIGINT AS w FROM docs GROUP BY k),
@@ -131,23 +131,14 @@ budgets AS (
 units AS (SELECT k, h, sum(size)::BIGINT AS size FROM docs GROUP BY k, h),
 walked AS (
   SELECT u.k, h, size, t - whole * s AS b, sum(size) OVER (PARTITION BY u.k ORDER BY h) AS upto FROM units u JOIN budgets USING (k)),
-marked AS (SELECT *, (min(CASE WHEN upto > b THEN h END) OVER (PARTITION BY k)) AS edge FROM walked),
-first_cut AS (
-  SELECT k, h, size, b, edge IS NULL OR h < edge OR (h = edge AND upto - b < b - (upto - size)) AS inside FROM marked),
-rest0 AS (SELECT k, any_value(b) - coalesce(sum(size) FILTER (WHERE inside), 0) AS rest FROM first_cut GROUP BY k),
-fill1 AS (
-  SELECT k, h, size FROM (
-    SELECT f.k, h, size, row_number() OVER (PARTITION BY f.k ORDER BY size DESC, h) AS n FROM first_cut f JOIN rest0 USING (k) WHERE NOT inside AND size > 0 AND size <= rest) WHERE n = 1),
-rest1 AS (SELECT r.k, rest - coalesce(size, 0) AS rest FROM rest0 r LEFT JOIN fill1 USING (k)),
-fill2 AS (
-  SELECT k, h, size FROM (
-    SELECT f.k, f.h, f.size, row_number() OVER (PARTITION BY f.k ORDER BY f.size DESC, f.h) AS n
-    FROM first_cut f JOIN rest1 USING (k) LEFT JOIN fill1 g ON g.k = f.k AND g.h = f.h
-    WHERE NOT inside AND f.size > 0 AND f.size <= rest AND g.h IS NULL) WHERE n = 1),
-taken AS (SELECT k, h FROM first_cut WHERE inside UNION SELECT k, h FROM fill1 UNION SELECT k, h FROM fill2)
+cuts AS (
+  SELECT k, coalesce(min(h) FILTER (WHERE upto > b), 1::BIGINT << 48) AS edge,
+         floor(any_value(b) - coalesce(max(upto) FILTER (WHERE upto <= b), 0))::BIGINT AS room,
+         coalesce(arg_min(size, h) FILTER (WHERE upto > b), 1)::BIGINT AS unit
+  FROM walked GROUP BY k)
 SELECT d.doc_id, d.size, b.s AS source_size, b.t AS target,
-       CASE WHEN d.size > 0 THEN d.size * (b.whole + CASE WHEN x.h IS NULL THEN 0 ELSE 1 END) ELSE 0 END::BIGINT AS taken
-FROM docs d JOIN budgets b USING (k) LEFT JOIN taken x ON x.k = d.k AND x.h = d.h
+       (d.size * b.whole + CASE WHEN d.h < c.edge THEN d.size WHEN d.h = c.edge THEN floor((d.size * c.room)::DOUBLE / c.unit::DOUBLE) ELSE 0 END)::BIGINT AS taken
+FROM docs d JOIN budgets b USING (k) JOIN cuts c USING (k)
 """
 
 
