@@ -4,6 +4,7 @@ import base64
 import hashlib
 import os
 import re
+import time
 from collections import Counter
 
 import duckdb
@@ -75,27 +76,48 @@ def edits(a, b):
     return min(row)
 
 
-def test_decontamination(spark, docs):
+def test_decontamination(spark, docs, monkeypatch):
     rng = np.random.default_rng(5)
     words = [f"v{i}" for i in range(12)]
-    items = [(i, " ".join(rng.choice(words, rng.integers(1, 16)))) for i in range(40)] + [(90, ""), (91, None), (92, "Hello, World!")]
-    rows = [(i, " ".join(rng.choice(words, rng.integers(0, 40)))) for i in range(80)] + [(200, "hello world"), (201, "say hello world"), (202, None)]
-    got = {(r.doc_id, r.item_id): r.distance for r in decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
-    want = {}
+    items = [(i, " ".join(rng.choice(words, rng.integers(1, 17)))) for i in range(60)] + [(90, ""), (91, None), (92, "Hello, World!"), (None, "no id here at all"), (93, "漢字の問題文です。次")]
+    rows = [(i, " ".join(rng.choice(words, rng.integers(0, 40)))) for i in range(80)] + [(200, "hello world"), (201, "say hello world"), (202, None), (203, "x no id here at all y"), (204, "これは漢字の問題文です。次に")]
+    rows += [(205, "hello-world"), (205, "hello-world"), (None, "hello world"), (206, "helloworld")]
+    want = Counter()
     for d, t in rows:
         for i, item in items:
             a, b = decontam.normal(item).split(), decontam.normal(t).split()
-            if a and len(a) < decontam.MIN_WORDS and a == b:
-                want[d, i] = 0
-            elif len(a) >= decontam.MIN_WORDS and b and edits(a, b) <= len(a) // 5:
-                want[d, i] = edits(a, b)
-    assert got == want and (200, 92) in got and (201, 92) not in got
+            if a and b and edits(a, b) <= len(a) // 5:
+                want[d, i, edits(a, b)] += 1
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, item_id string, h int")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for block in (decontam.BLOCK_CHARS, 150):  # one block, and several passes of several
+        monkeypatch.setattr(decontam, "BLOCK_CHARS", block)
+        found = decontam.contaminated(df, bench).collect()
+        assert Counter((r.doc_id, r.item_id, r.distance) for r in found) == want
+        for r in found:  # the place is where it says
+            a = next(decontam.normal(t).split() for i, t in items if i == r.item_id)
+            places = [decontam.normal(t).split()[r.first_word : r.last_word + 1] for d, t in rows if d == r.doc_id]
+            assert any(edits(a, p) == r.distance and edits(p, a) <= r.distance for p in places)
+        assert Counter(r.doc_id for r in decontam.clean(df, bench).collect()) == Counter(d for d, _ in rows) - Counter({d: 9 for d, _, _ in want})
+    assert (201, 92, 0) in want and (203, None, 0) in want and (204, 93, 0) in want and want[205, 92, 0] == 2 and (206, 92, 0) not in want
+    monkeypatch.undo()
+    assert decontam.clean(df, bench).columns == df.columns
     bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
     assert decontam.contaminated(docs, bench.limit(0)).count() == 0 and decontam.contaminated(docs.limit(0), bench).count() == 0
     flagged = {r.doc_id for r in decontam.contaminated(docs, bench).collect()}
     assert {r.doc_id for r in decontam.clean(docs, bench).collect()} == set(texts(docs)) - flagged
 
 
+def test_decontamination_takes_linear_time():
+    items = decontam.Items([(1, "a b c d e f g h i j"), (2, "a a a a a a a a a a a a"), (3, "b a")])
+    times = []
+    for n in (20_000, 80_000):
+        began = time.perf_counter()
+        assert [x[0] for x in items.search("a b " * n)] == [3] and [x[0] for x in items.search("a " * n)] == [2]
+        times.append(time.perf_counter() - began)
+    assert times[1] < 12 * times[0] + 1
+
+
 # -- 2 -----------------------------------------------------------------------------------------------------------------
 
 
