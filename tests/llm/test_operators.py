@@ -258,9 +258,29 @@ def test_html(spark):
 # -- 8 -----------------------------------------------------------------------------------------------------------------
 
 
-def test_warc(spark):
-    rows = [(5, "u\r\nx%0A", "é same"), (3, "http://a", "é same"), (9, None, None), (2, "v", ""), (None, "n", "z"), (7, "w", "long " * 50_000), (7, "w", "long " * 50_000)]
-    pages = spark.createDataFrame(rows, "key long, url string, payload string").withColumn("payload", F.col("payload").cast("binary"))
+def plain_records(path):
+    """A reader of its own: gzip members, header lines as they are, block by Content-Length."""
+    import zlib
+
+    data, out = open(path, "rb").read(), []
+    while data:
+        z = zlib.decompressobj(31)
+        raw, data = z.decompress(data) + z.flush(), z.unused_data
+        head, _, rest = raw.partition(b"\r\n\r\n")
+        lines = head.decode().split("\r\n")
+        assert lines[0] == "WARC/1.1"
+        heads = dict(x.split(": ", 1) for x in lines[1:])
+        block = rest[: int(heads["Content-Length"])]
+        assert rest[len(block) :] == b"\r\n\r\n"
+        out.append((heads, block))
+    return out
+
+
+@pytest.mark.parametrize("bound", [16 << 20, 0])
+def test_warc(spark, monkeypatch, bound):
+    monkeypatch.setattr(common, "BROADCAST_BYTES", bound)
+    rows = [(5, "u\r\nx%0A", "é same"), (3, "http://a/x%20y", "é same"), (9, None, None), (2, "v", ""), (None, "n", "z"), (None, "n", "z"), (7, "w", "long " * 50_000), (7, "w", "long " * 50_000), (7, "a", "long " * 50_000)]
+    pages = spark.createDataFrame([(*r, "x", 1, "y") for r in rows], "key long, url string, payload string, digest string, shard int, first_key string").withColumn("payload", F.col("payload").cast("binary"))
     outs = []
     for _ in range(2):
         base = scratch_path(spark, "warc-test")
@@ -270,13 +290,33 @@ def test_warc(spark):
     assert outs[0] == outs[1] and len(outs[0][0]) > 2
     got = [(r.key, r.url, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in back.collect()]
     digest = lambda t: base64.b32encode(hashlib.sha1((t or "").encode()).digest()).decode()
-    assert (3, "http://a", 7, digest("é same"), "response", None) in got and (5, "u\r\nx%0A", 7, digest("é same"), "revisit", 3) in got
+    assert (3, "http://a/x%20y", 7, digest("é same"), "response", None) in got and (5, "u%0D%0Ax%0A", 7, digest("é same"), "revisit", 3) in got
     assert (2, "v", 0, digest(""), "response", None) in got and (9, "urn:none", 0, digest(""), "revisit", 2) in got
-    assert sorted(k[4] for k in got if k[0] == 7) == ["response", "revisit"] and len(got) == len(rows)
+    assert sorted(k[1:2] + k[4:] for k in got if k[0] == 7) == [("a", "response", None), ("w", "revisit", 7), ("w", "revisit", 7)] and len(got) == len(rows)
+    assert [k[4] for k in got if k[0] is None] == ["response"] * 2
     assert {bytes(r.payload).decode() for r in back.filter("payload is not null").collect()} == {t or "" for _, _, t in rows}
+    # what another reader sees
+    found = [x for f in outs[0][0] for x in plain_records(f"{base.removeprefix('file://')}/{f['file']}")]
+    assert len({h["WARC-Record-ID"] for h, _ in found}) == len(found) == len(rows) + len(outs[0][0])
+    responses = {h["WARC-Record-ID"]: (h, b) for h, b in found if h["WARC-Type"] == "response"}
+    for h, block in found:
+        if h["WARC-Type"] != "warcinfo":
+            assert h["WARC-Block-Digest"] == "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()
+        if h["WARC-Type"] == "response":
+            assert h["WARC-Payload-Digest"] == "sha1:" + base64.b32encode(hashlib.sha1(block.partition(b"\r\n\r\n")[2]).digest()).decode()
+        if h["WARC-Type"] == "revisit":
+            assert responses[h["WARC-Refers-To"]][0]["WARC-Payload-Digest"] == h["WARC-Payload-Digest"]
+    assert {h["WARC-Target-URI"] for h, _ in found if "WARC-Target-URI" in h} == {"u%0D%0Ax%0A", "http://a/x%20y", "urn:none", "v", "n", "w", "a"}
     assert warc.write(pages.limit(0), (base := scratch_path(spark, "warc-none"))) == [] and warc.read(spark, base).count() == 0
 
 
+def test_warc_least(spark):
+    rows = [(1, "a", "tiny"), (2, "b", "tiny"), (3, "c", "large enough"), (4, "d", "large enough")]
+    pages = spark.createDataFrame(rows, "key long, url string, payload string").withColumn("payload", F.col("payload").cast("binary"))
+    warc.write(pages, (base := scratch_path(spark, "warc-least")), least=6)
+    assert sorted((r.key, r.record_type, r.refers_to) for r in warc.read(spark, base).collect()) == [(1, "response", None), (2, "response", None), (3, "response", None), (4, "revisit", 3)]
+
+
 # -- 9 -----------------------------------------------------------------------------------------------------------------
 
 

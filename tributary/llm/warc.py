@@ -2,24 +2,28 @@
 
 Records are ordered by key and cut into shards by a histogram of payload bytes
 over key ranges (ranges that hold too much are counted again, finer), so that
-shards do not depend on how Spark deals rows out. Each task writes the shards
-it got, sorted, as gzip members, one a record, and begins a new file whenever a
-file has reached its compressed size. Headers, lengths and SHA-1 digests are
-made anew from the payload. Files are written under temporary names with the
-attempt in them; only when all tasks have ended are the files that the
-successful attempts reported renamed, and the manifest, written last and moved
-into place, names the files that count. A lost executor leaves temporary files
-that no manifest names.
-
-Among equal payloads of at least `least` bytes the one with the smallest key is
-a response record and others are revisit records that refer to it; these carry
-its digest and length but no payload.
+shards do not depend on how Spark deals rows out. Every shard is a partition of
+its own, sorted, and written as gzip members, one a record; a new file begins
+whenever a file has reached its compressed size. Headers, lengths and SHA-1
+digests are made anew from the payload. A file is written under a temporary
+name with the attempt in it and renamed by its task when it is whole; the
+manifest, written last by the driver and moved into place, names the files that
+count. Contents depend on the records alone, so an attempt that is repeated
+after a lost executor gives the same files, and what a failed run left is named
+by no manifest.
+
+Among equal payloads of at least `least` bytes the one with the smallest key
+(then address) is a response record and others are revisit records that refer to
+it; these carry its digest and length but no payload. If the payloads that
+occur again are too many to broadcast, decisions travel to the shards as rows
+of their own, so that payloads are shuffled once either way.
 
 Defined cases: a null payload is empty; rows with equal keys follow each other
 by address and payload digest (among equal payloads all but one of them are
 revisits of that key); a null key is written under the key "null", after all
-others; a null address is written as urn:none; an empty table gives a manifest
-without files; other columns are ignored.
+others; a null address is written as urn:none, and control characters in an
+address as percent escapes, in which form they are read back; an empty table
+gives a manifest without files; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,16 +33,17 @@ import gzip
 import hashlib
 import io
 import json
+import re
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, bound_batches, materialize
+from .common import attach, bound_batches, materialize, small
 
 #: Compressed bytes after which a file is closed, and key ranges counted at once.
 ROLL_BYTES, RANGES = 256 << 20, 4096
@@ -48,20 +53,40 @@ DATE = "2000-01-01T00:00:00Z"  # given, so that reruns agree
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri)
+    """The file system of an address and the path in it; s3a and s3n are Hadoop's names of s3."""
+    return pafs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
 
 
 def digest_b32(hex_digest: str) -> str:
     return base64.b32encode(bytes.fromhex(hex_digest)).decode()
 
 
-def record(kind: str, key: str, url: str, payload: bytes, digest: str, size: int, refers: str | None) -> bytes:
-    """One WARC/1.1 record as a gzip member without time stamp."""
+def member(heads: dict[str, str], block: bytes) -> bytes:
+    """A WARC/1.1 record as a gzip member without time stamp."""
+    head = "".join(f"{k}: {one_line(v)}\r\n" for k, v in (heads | {"Content-Length": str(len(block))}).items())
+    out = io.BytesIO()
+    with gzip.GzipFile(fileobj=out, mode="wb", compresslevel=6, mtime=0) as z:
+        z.write(b"WARC/1.1\r\n" + head.encode() + b"\r\n" + block + b"\r\n\r\n")
+    return out.getvalue()
+
+
+def urn(*parts: object) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, json.dumps(parts))}>"
+
+
+def info(name: str) -> bytes:
+    """The record that begins a file."""
+    heads = {"WARC-Type": "warcinfo", "WARC-Record-ID": urn("info", name), "WARC-Date": DATE, "WARC-Filename": name, "Content-Type": "application/warc-fields"}
+    return member(heads, b"format: WARC File Format 1.1\r\nsoftware: tributary\r\n")
+
+
+def record(ident: str, key: str, url: str, payload: bytes, digest: str, size: int, refers: str | None) -> bytes:
+    """A response record, or a revisit record if it refers to a key."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
-    block = http + (payload if kind == "response" else b"")
+    block = http + (payload if refers is None else b"")
     heads = {
-        "WARC-Type": kind,
-        "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'record:{key}:{url}')}>",
+        "WARC-Type": "response" if refers is None else "revisit",
+        "WARC-Record-ID": ident,
         "WARC-Date": DATE,
         "WARC-Target-URI": url,
         "WARC-Payload-Digest": f"sha1:{digest}",
@@ -69,36 +94,15 @@ def record(kind: str, key: str, url: str, payload: bytes, digest: str, size: int
         "WARC-Source-Key": key,
         "WARC-Payload-Length": str(size),
         "Content-Type": "application/http;msgtype=response",
-        "Content-Length": str(len(block)),
     }
     if refers is not None:
-        heads |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To-Source-Key": refers}
-    head = "".join(f"{k}: {one_line(v)}\r\n" for k, v in heads.items())
-    raw = b"WARC/1.1\r\n" + head.encode() + b"\r\n" + block + b"\r\n\r\n"
-    out = io.BytesIO()
-    with gzip.GzipFile(fileobj=out, mode="wb", compresslevel=6, mtime=0) as z:
-        z.write(raw)
-    return out.getvalue()
+        heads |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": urn("payload", digest), "WARC-Refers-To-Date": DATE, "WARC-Refers-To-Source-Key": refers}
+    return member(heads, block)
 
 
 def one_line(value: str) -> str:
-    """Header values are one line; control characters and % become percent escapes."""
-    return "".join(f"%{ord(c):02X}" if c < " " or c in "%\x7f" else c for c in value)
-
-
-def plain_line(value: str) -> str:
-    from urllib.parse import unquote
-
-    return unquote(value, errors="strict") if "%" in value else value
-
-
-def classified(pages: DataFrame, least: int = 0) -> DataFrame:
-    """(key, url, payload, digest hex, size, refers_to): digests by Spark, and only they are shuffled to find copies."""
-    base = pages.select(F.col("key"), F.coalesce("url", F.lit("urn:none")).alias("url"), F.coalesce(F.col("payload"), F.lit(b"")).alias("payload"))
-    base = base.withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload").cast("long"))
-    firsts = base.filter(F.col("size") >= least).groupBy("digest").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    firsts = materialize(firsts.select("digest", "first"), "warc-firsts")
-    return attach(base, firsts, ["digest"], "left")
+    """Header values are one line: control characters become percent escapes, all else stays as it is."""
+    return "".join(f"%{ord(c):02X}" if c < " " or c == "\x7f" else c for c in value)
 
 
 def shards(keys: DataFrame, shard_bytes: int | None = None) -> list[tuple[int, int]]:
@@ -129,38 +133,66 @@ def shards(keys: DataFrame, shard_bytes: int | None = None) -> list[tuple[int, i
     return sorted(found)
 
 
-def _write(base: str, attempt: str, roll: int):
-    """Rows sorted by (shard, key) to files; yields what was written."""
+ROW = "shard int, key long, url string, digest string, tag int, payload binary, size long, first_key long, first_url string"
+WRITTEN = pa.schema([("file", pa.string()), ("bytes", pa.int64()), ("records", pa.int64()), ("sha1", pa.string())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = open_fs(base)
-        mine = uuid.uuid4().hex
-        out, shard, seq, name, size, n, sha = None, None, 0, "", 0, 0, None
-        done: list[dict] = []
 
-        def close() -> None:
-            nonlocal out
-            if out is not None:
-                out.close()
-                done.append({"file": f"part-{shard:06d}-{seq:05d}.warc.gz", "temp": name, "bytes": size, "records": n, "sha1": sha.hexdigest()})
-                out = None
+class Writer:
+    """Records of one task to files, in the order given."""
+
+    def __init__(self, base: str, attempt: str, roll: int):
+        self.store, self.root = open_fs(base)
+        self.temp = f"_temporary-{attempt}/{uuid.uuid4().hex}"
+        self.store.create_dir(f"{self.root}/_temporary-{attempt}", recursive=True)
+        self.roll, self.out, self.shard, self.seq, self.done = roll, None, None, 0, []
 
+    def put(self, shard: int, ident: object, **what) -> None:
+        if self.out is None or shard != self.shard or self.size >= self.roll:
+            self.close()
+            self.seq = self.seq + 1 if shard == self.shard else 0
+            self.shard, self.size, self.n, self.sha = shard, 0, 0, hashlib.sha1()
+            self.name = f"part-{shard:06d}-{self.seq:05d}.warc.gz"
+            self.out = self.store.open_output_stream(f"{self.root}/{self.temp}-{self.name}", compression=None)
+            self.write(info(self.name))
+        self.write(record(urn("payload", what["digest"]) if ident is None else urn(self.name, self.n, ident), **what))
+        self.n += 1
+
+    def write(self, data: bytes) -> None:
+        self.out.write(data)
+        self.sha.update(data)
+        self.size += len(data)
+
+    def close(self) -> None:
+        if self.out is not None:
+            self.out.close()
+            self.store.move(f"{self.root}/{self.temp}-{self.name}", f"{self.root}/{self.name}")
+            self.done.append({"file": self.name, "bytes": self.size, "records": self.n, "sha1": self.sha.hexdigest()})
+            self.out = None
+
+
+def _write(base: str, attempt: str, roll: int, least: int):
+    """Rows of ROW sorted by (shard, key, url, digest, tag) to files; yields what was written. Rows of tag 0 tell which
+    record of a payload is its response, for the rows of tag 1 after them; those of tag 2 tell it themselves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        to = Writer(base, attempt, roll)
+        told, told_first, last = None, None, None
         for batch in batches:
             for r in batch.to_pylist():
-                if r["shard"] != shard or size >= roll:
-                    close()
-                    shard, seq = r["shard"], seq + 1 if r["shard"] == shard else 0
-                    name, size, n, sha = f"_temporary-{attempt}/{mine}-{shard:06d}-{seq:05d}", 0, 0, hashlib.sha1()
-                    store.create_dir(f"{root}/_temporary-{attempt}", recursive=True)
-                    out = store.open_output_stream(f"{root}/{name}", compression=None)
-                key = "null" if r["key"] is None else str(r["key"])
-                kind = "response" if r["refers_to"] is None else "revisit"
-                data = record(kind, key, r["url"], r["payload"] or b"", digest_b32(r["digest"]), r["size"], None if r["refers_to"] is None else str(r["refers_to"]))
-                out.write(data)
-                sha.update(data)
-                size, n = size + len(data), n + 1
-        close()
-        yield pa.RecordBatch.from_pylist(done, schema=pa.schema([("file", pa.string()), ("temp", pa.string()), ("bytes", pa.int64()), ("records", pa.int64()), ("sha1", pa.string())]))
+                same = (r["shard"], r["key"], r["url"], r["digest"])
+                first = (r["first_key"], r["first_url"]) if r["first_key"] is not None else None
+                if r["tag"] == 0:
+                    told, told_first = same, first
+                    continue
+                if r["tag"] == 1:
+                    first = told_first if told == same else None
+                key, big = "null" if r["key"] is None else str(r["key"]), r["size"] >= least
+                response = first is None or (first == (r["key"], r["url"]) and same != last)
+                last = same
+                ident = None if response and big and r["key"] is not None else key  # one response a digest
+                to.put(r["shard"], ident, key=key, url=r["url"], payload=r["payload"] or b"", digest=digest_b32(r["digest"]), size=r["size"], refers=None if response else str(first[0]))
+        to.close()
+        yield pa.RecordBatch.from_pylist(to.done, schema=WRITTEN)
 
     return run
 
@@ -171,27 +203,30 @@ def write(pages: DataFrame, base: str, least: int = 0, roll_bytes: int = ROLL_BY
     The driver holds a row for each key range and each file, not for records."""
     spark = pages.sparkSession
     bound_batches(spark)
-    rows = classified(pages, least)
-    sizes = materialize(pages.select("key", F.coalesce(F.octet_length("payload"), F.lit(0)).cast("long").alias("size")), "warc-sizes")
-    cuts = shards(sizes, shard_bytes)
-    shard = shard_of([a for a, _ in cuts])(F.col("key"))
-    twin = Window.partitionBy("shard", "digest", "key").orderBy("url")
-    ordered = rows.withColumn("shard", shard)
-    repeats = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("key"))
-    same = materialize(sizes.groupBy("key").count().filter("count > 1").select("key"), "warc-twins")
-    if same.isEmpty():
-        ordered = ordered.withColumn("refers_to", F.when(repeats, F.col("first")))
-    else:  # keys that occur again: only the first of equal payloads under the smallest key is a response
-        ordered = ordered.withColumn("nth", F.row_number().over(twin))
-        big = F.col("size") >= least
-        ordered = ordered.withColumn("refers_to", F.when(repeats | (F.col("first").isNotNull() & big & (F.col("nth") > 1)), F.col("first"))).drop("nth")
-    ordered = ordered.withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload")))
-    n = max(1, len(cuts) + 1)
-    dealt = ordered.select("shard", "key", "url", "payload", "digest", "size", "refers_to").repartition(n, "shard").sortWithinPartitions("shard", F.asc_nulls_last("key"), "url", "digest")
+    rows = pages.select("key", F.coalesce("url", F.lit("urn:none")).alias("url"), F.coalesce(F.col("payload"), F.lit(b"")).alias("payload"))
+    rows = rows.withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload").cast("long")})
+    keys = materialize(rows.select("key", "url", "digest", "size"), "warc-keys")
+    cuts = shards(keys, shard_bytes)
+    shard = shard_of([a for a, _ in cuts])
+    rows = rows.withColumn("shard", shard(F.col("key")))
+    one = F.min(F.when(F.col("key").isNotNull(), F.struct("key", "url")))
+    firsts = keys.filter(F.col("size") >= least).groupBy("digest").agg(one.alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1 and f is not null")
+    firsts = materialize(firsts.select("digest", F.col("f.key").alias("first_key"), F.col("f.url").alias("first_url")), "warc-firsts")
+    none = F.lit(None)
+    if small(firsts):
+        own = F.col("first_key").isNull() | (F.col("first_key").eqNullSafe(F.col("key")) & (F.col("first_url") == F.col("url")))
+        dealt = attach(rows, firsts, ["digest"], "left").withColumns({"payload": F.when(own, F.col("payload")), "tag": F.lit(2)})
+    else:
+        told = attach(keys.select("key", "url", "digest").distinct(), firsts, ["digest"], "inner")
+        told = told.withColumns({"shard": shard(F.col("key")), "tag": F.lit(0), "payload": none.cast("binary"), "size": F.lit(0).cast("long")})
+        dealt = rows.withColumns({"tag": F.lit(1), "first_key": none.cast("long"), "first_url": none.cast("string")}).unionByName(told)
+    names = [x.split()[0] for x in ROW.split(", ")]
+    ordered = dealt.select(names).repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions("shard", F.asc_nulls_last("key"), "url", "digest", "tag")
     attempt = uuid.uuid4().hex
-    written = [r.asDict() for r in dealt.mapInArrow(_write(base, attempt, roll_bytes), "file string, temp string, bytes long, records long, sha1 string").collect()]  # a row a file
+    written = [r.asDict() for r in ordered.mapInArrow(_write(base, attempt, roll_bytes, least), "file string, bytes long, records long, sha1 string").collect()]  # a row a file
+    written.sort(key=lambda w: w["file"])
     commit(base, attempt, written)
-    return sorted(({k: v for k, v in w.items() if k != "temp"} for w in written), key=lambda w: w["file"])
+    return written
 
 
 def shard_of(starts: list[int]):
@@ -208,14 +243,11 @@ def shard_of(starts: list[int]):
 
 
 def commit(base: str, attempt: str, written: list[dict]) -> None:
-    """Rename the reported files and put the manifest in place; files of failed attempts go."""
+    """Put the manifest in place; temporary files of failed attempts go."""
     store, root = open_fs(base)
     store.create_dir(root, recursive=True)
-    for w in written:
-        store.move(f"{root}/{w['temp']}", f"{root}/{w['file']}")
-    rows = sorted(({k: v for k, v in w.items() if k != "temp"} for w in written), key=lambda w: w["file"])
     with store.open_output_stream(f"{root}/_manifest-{attempt}", compression=None) as out:
-        out.write(json.dumps({"files": rows}, indent=1).encode())
+        out.write(json.dumps({"files": written}, indent=1).encode())
     store.move(f"{root}/_manifest-{attempt}", f"{root}/MANIFEST.json")
     if store.get_file_info(f"{root}/_temporary-{attempt}").type == pafs.FileType.Directory:
         store.delete_dir(f"{root}/_temporary-{attempt}")
@@ -235,7 +267,7 @@ def parse(stream) -> Iterator[tuple[dict[str, str], bytes]]:
             heads = {}
             while (line := z.readline()) not in (b"\r\n", b"\n", b""):
                 k, _, v = line.decode().rstrip("\r\n").partition(": ")
-                heads[k] = plain_line(v)
+                heads[k] = v
             yield heads, z.read(int(heads["Content-Length"]))
 
 
@@ -247,6 +279,8 @@ def _read(base: str, payloads: bool):
                 rows, held, n = [], 0, 0
                 with store.open_input_stream(f"{root}/{name}", compression=None) as stream:
                     for heads, block in parse(stream):
+                        if heads["WARC-Type"] == "warcinfo":
+                            continue
                         _, _, payload = block.partition(b"\r\n\r\n")
                         digest = heads["WARC-Payload-Digest"].removeprefix("sha1:")
                         kind = heads["WARC-Type"]
