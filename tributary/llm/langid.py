@@ -7,16 +7,19 @@ language segment of its path), and a prior of its host. The prior is smoothed
 hierarchically: a host's mean text posterior is drawn to that of its domain,
 this to that of its suffix, and this to that of all rows, each computed by
 grouped aggregation over all rows (host totals first, so that a hot host is
-summed map-side). How far declarations can be trusted is estimated in the same
-way, from how often they agree with the texts.
+summed map-side). A row's own posterior is left out of its prior, so that its
+text counts once. How far declarations and addresses can be trusted is
+estimated from how often they agree with the texts, over all rows too.
 
-The trigram model is fitted on a bounded sample of labelled rows (FIT_ROWS rows
-of at most FIT_CHARS characters, those whose id hashes lowest); all other
-counts cover all rows.
+The languages are those that label any row of the whole table. The trigram
+model is fitted on a bounded sample for each of them: at most FIT_ROWS rows of
+a language, those whose id hashes lowest, of which the first FIT_CHARS
+characters count (whole texts are scored). Languages beyond MOST_LANGS would
+not fit the model's array and are an error.
 
 Defined cases: null or empty text has no likelihood, and the other evidence
-decides; without any evidence the overall prior does; unknown declared
-languages are no evidence; ties go to the language first in order; repeated
+decides; without any evidence the overall prior does; declared languages that
+label no row are no evidence; ties go to the language first in order; repeated
 rows count as often as they occur and each get their row; an empty table gives
 an empty result, and without labelled rows the language is null; other columns
 are ignored.
@@ -26,13 +29,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import attach, bound_batches, materialize
 from .html import host_of, main_text
 
-FIT_ROWS, FIT_CHARS = 2000, 20_000
+FIT_ROWS, FIT_CHARS, MOST_LANGS = 300, 20_000, 500
 BUCKETS = 1 << 15
 #: Weight of one trigram (neighbours are not independent), and most evidence of a text in nats.
 DAMP, MOST = 0.25, 30.0
@@ -52,17 +55,28 @@ def trigrams(text: str) -> np.ndarray:
 
 
 def fit(labelled: DataFrame, rows: int = FIT_ROWS) -> tuple[list[str], np.ndarray]:
-    """Languages and log probabilities [language, bucket] from labelled (doc_id, text, lang)."""
-    usable = labelled.select("doc_id", "text", "lang").filter(f"lang is not null and length(text) between 1 and {FIT_CHARS}").withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)))
-    n = labelled.filter("lang is not null").count()
-    # hashes below a bound that lets about twice the wanted rows through, so that few rows are sorted and sent
-    few = usable.filter(F.col("h") < min(1 << 40, (rows * 2 << 40) // max(n, 1)))
-    sample = few.orderBy("h", "doc_id", "text", "lang").limit(rows).collect()  # at most FIT_ROWS short rows
-    langs = sorted({r["lang"] for r in sample})
-    counts = np.full((len(langs), BUCKETS), 0.1)
-    for r in sample:
-        counts[langs.index(r["lang"])] += np.bincount(trigrams(r["text"]), minlength=BUCKETS)
-    return langs, np.log(counts / counts.sum(1, keepdims=True)) if langs else counts
+    """Languages and log probabilities [language, bucket] from labelled (doc_id, text, lang). A language of which no
+    row has a text is as likely as any for every trigram."""
+    own = labelled.select("doc_id", "lang", F.substring("text", 1, FIT_CHARS).alias("text")).withColumn("lang", plain_lang(F.col("lang"))).filter("lang is not null")
+    counted = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count(F.when(F.length("text") > 0, 1)).alias("n")).limit(MOST_LANGS + 1).collect()}
+    if len(counted) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages label the rows")
+    if not counted:
+        return [], np.zeros((0, BUCKETS))
+    langs = sorted(counted)
+    # hashes below a bound that lets about twice the wanted rows of a language through, so that few rows are sorted
+    bounds = F.create_map(*[x for lang in langs for x in (F.lit(lang), F.lit(min(1 << 40, (rows * 2 << 40) // max(counted[lang], 1))))])
+    few = own.filter("length(text) > 0").withColumn("h", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))).filter(F.col("h") < F.element_at(bounds, F.col("lang")))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "text"))
+    sums = np.full((len(langs), BUCKETS), 0.1)
+    for r in few.withColumn("nth", nth).filter(F.col("nth") <= rows).select("lang", "text").toLocalIterator():  # rows * languages short rows
+        sums[langs.index(r["lang"])] += np.bincount(trigrams(r["text"]), minlength=BUCKETS)
+    return langs, np.log(sums / sums.sum(1, keepdims=True))
+
+
+def plain_lang(c: Column) -> Column:
+    """The first subtag, in lower case; null if there is none."""
+    return F.nullif(F.lower(F.substring_index(F.trim(c), "-", 1)), F.lit(""))
 
 
 def likelihoods(model: np.ndarray, markup: bool, shared):
@@ -93,6 +107,11 @@ def by_sum(n: int, column: str) -> list[Column]:
     return [F.sum(F.col(column)[i]).alias(f"s{i}") for i in range(n)]
 
 
+def left_out(n: int) -> Column:
+    """The host's prior without the row itself: sums less the row's posterior, drawn to the domain's prior."""
+    return F.array(*[(F.greatest(F.col(f"s{i}") - F.col("text_post")[i], F.lit(0.0)) + STRENGTH * F.col("up")[i]) / (F.col("c") - 1 + STRENGTH) for i in range(n)])
+
+
 def smoothed(level: DataFrame, key: str, parent: DataFrame | None, parent_key: str, n: int) -> DataFrame:
     """(key, prior): sums s0..s{n-1} and count c drawn to the parent's prior."""
     if parent is None:
@@ -114,17 +133,19 @@ def fuse(rows: DataFrame, langs: list[str]) -> DataFrame:
     everything = smoothed(up("all", []), "all", None, "", n)
     suffixes = smoothed(up("suffix", ["all"]), "suffix", everything, "all", n)
     domains = smoothed(up("domain", ["suffix"]), "domain", suffixes, "suffix", n)
-    priors = materialize(smoothed(hosts, "host", domains, "domain", n).select("host", "prior"), "lang-priors")
+    drawn = hosts.join(domains.select("domain", F.col("prior").alias("up")), "domain")
+    priors = materialize(drawn.select("host", *[f"s{i}" for i in range(n)], "c", "up"), "lang-priors")
     # trust in declarations and addresses: how often they agree with the text, smoothed
     post = lambda c: F.element_at("text_post", F.array_position(F.array(*[F.lit(x) for x in langs]), F.col(c)).cast("int"))
     known = lambda c: F.col(c).isin(langs)
-    trust = rows.agg(*[((F.coalesce(F.sum(F.when(known(c), post(c))), F.lit(0.0)) + 8) / (F.count(F.when(known(c), 1)) + 10)).alias(c) for c in ("declared", "address")]).first()
+    told = F.array_min("ll") < 0  # rows without a text say nothing about trust
+    trust = rows.agg(*[((F.coalesce(F.sum(F.when(known(c) & told, post(c))), F.lit(0.0)) + 8) / (F.count(F.when(known(c) & told, 1)) + 10)).alias(c) for c in ("declared", "address")]).first()
 
     def said(c: str, i: int) -> Column:
         right = min(max(trust[c], 1 / n + 0.01), 0.99)
         return F.when(known(c), F.when(F.col(c) == langs[i], F.log(F.lit(right))).otherwise(F.log(F.lit((1 - right) / max(1, n - 1))))).otherwise(0.0)
 
-    joined = attach(rows, priors, ["host"], "left")
+    joined = attach(rows, priors, ["host"], "left").withColumn("prior", left_out(n))
     logs = F.array(*[F.col("ll")[i] + F.log(F.greatest(F.col("prior")[i], F.lit(1e-12))) + said("declared", i) + said("address", i) for i in range(n)])
     fused = joined.withColumn("post", posterior(logs))
     names = F.array(*[F.lit(x) for x in langs])
@@ -162,7 +183,7 @@ def identify(docs: DataFrame, pages: DataFrame) -> DataFrame:
     out = None
     for kind, rows in (
         ("page", pages.select(F.lit(None).cast("long").alias("doc_id"), "page_id", likelihoods(model, True, shared)("html").alias("ll"), declared_in(F.col("html")).alias("declared"), address_in(F.col("url")).alias("address"), host_of(F.col("url")).alias("host"))),
-        ("document", docs.select("doc_id", F.lit(None).cast("long").alias("page_id"), likelihoods(model, False, shared)("text").alias("ll"), F.lower(F.substring_index("lang", "-", 1)).alias("declared"), F.lit(None).cast("string").alias("address"), F.col("source").alias("host"))),
+        ("document", docs.select("doc_id", F.lit(None).cast("long").alias("page_id"), likelihoods(model, False, shared)("text").alias("ll"), plain_lang(F.col("lang")).alias("declared"), F.lit(None).cast("string").alias("address"), F.col("source").alias("host"))),
     ):
         part = fuse(rows, langs).select(F.lit(kind).alias("kind"), "doc_id", "page_id", "lang", "probability", "text_lang", "declared", "address")
         out = part if out is None else out.unionByName(part)
