@@ -16,7 +16,7 @@ from tributary.plans.model import RuleError
 from tributary.serving import bson
 from tributary.serving.auth import SHA256_DER, ApiTokens, AuthError, PublicKey, Secret, Users, flatten
 from tributary.serving.control import HISTORY, Conflict, Control, validate
-from tributary.serving.service import Service, serve_http
+from tributary.serving.service import Budget, Service, serve_http
 from tributary.sources import wal
 from tributary.streaming.store import Store
 
@@ -129,8 +129,11 @@ def test_control():
     assert again.next.status == "pending" and again.activate().version == entry.version
     with pytest.raises(Conflict, match="no candidate"):
         again.activate()
-    for _ in range(HISTORY + 5):
+    with pytest.raises(Conflict, match="not reprocessed"):
         again.reprocess()
+    assert again.next is None and again.history[-1].version == entry.version
+    for i in range(HISTORY + 5):
+        again.deploy(RULES + f"# {i}")
     assert len(again.history) == HISTORY and again.plan().streams[0].name == "all"
     assert validate(RULES)["source_tables"] == ["t"] and not validate("x: [")["valid"]
 
@@ -233,6 +236,14 @@ def test_clients_sums_agree(spark, tmp_path):
     ask(late)
     ask(fresh)  # below the retained floor: a reset
     assert early.docs == late.docs == fresh.docs and len(store.table("superseded").collect()) > 0
+    store.apply(changed(spark, 8, "insert", "k3", '{"n":8}', ALL))
+    service.budget = Budget(entries=len(early.docs) + 1, chars=1 << 20)
+    store.apply(changed(spark, 9, "insert", "k4", '{"n":9}', ALL))
+    tight = Service(store, Control(RULES), users())
+    tight.budget = Budget(chars=200)
+    after = dict(early.after)
+    lines = early.read(tight.respond("POST", "/sync/stream", signed, early.request()))  # a delta within the budget
+    assert early.after != after and len(lines) > 2
 
 
 def test_requests(spark, tmp_path):
@@ -260,9 +271,24 @@ def test_requests(spark, tmp_path):
     assert status({}, {}, "/api/admin/v1/schema") == 401 and status({}, manage, "/api/admin/v1/execute-sql") == 501
     assert status({"content": RULES}, manage, "/api/sync-rules/v1/deploy") == 200 and status({"content": RULES + " ", "base_version": 9}, manage, "/api/sync-rules/v1/deploy") == 409
     assert status({"content": "x"}, manage, "/api/sync-rules/v1/deploy") == 400 and status({"content": "x"}, manage, "/api/sync-rules/v1/validate") == 200
-    for path in ("diagnostics", "schema", "reprocess"):
+    for path in ("diagnostics", "schema"):
         assert status({}, manage, f"/api/admin/v1/{path}") == 200
-    open_ = Service(store, Control(RULES))  # without users, existing buckets are for all
+    was = service.control.describe()
+    for path in ("/api/sync-rules/v1/reprocess", "/api/admin/v1/reprocess"):
+        assert status({"base_version": 0, "intent_token": "again"}, manage, path) == 409
+    assert service.control.describe() == was
+    assert answer.headers["Cache-Control"] == "no-store" and answer.headers["X-Accel-Buffering"] == "no"
+    for closed in (Service(store, Control(RULES)), Service(store, Control(RULES), Users())):  # nobody is let in by default
+        for given_ in ({}, signed):
+            assert closed.respond("POST", "/sync/stream", given_, b'{"buckets":[]}').status == 401
+    assert status({}, {}, "/debug/metrics", "GET") == 401 and status({}, manage, "/debug/metrics", "GET") == 200
+    assert Service(store, Control(RULES)).respond("GET", "/debug/metrics", {}).status == 200  # no token is configured
+    small = Service(store, Control(RULES), users())
+    small.budget = Budget(entries=0)
+    assert small.respond("POST", "/sync/stream", signed, b"{}").status == 413
+    with pytest.raises(ValueError):
+        Service(store, Control(RULES), users(), anonymous=True)
+    open_ = Service(store, Control(RULES), anonymous=True)  # existing buckets are for all
     assert open_.respond("POST", "/sync/stream", {}, json.dumps({"only": [U1]}).encode()).status == 200
     assert open_.respond("POST", "/sync/stream", {}, json.dumps({"only": ['1#own|0[]']}).encode()).status == 400
 
@@ -270,7 +296,7 @@ def test_requests(spark, tmp_path):
 def test_held_open_and_socket(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/s", "c")
     store.snapshot(spark.createDataFrame([("t", "a", "{}", ALL)], DOC), 0)
-    service = Service(store, Control(RULES))
+    service = Service(store, Control(RULES), anonymous=True)
     held = service.stream({ALL: 0}, "application/x-ndjson", 60)
     first = [json.loads(next(held)) for _ in range(3)]
     store.apply(changed(spark, 1, "insert", "b", '{"n":1}', ALL))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tributary.operators import cdc
 from tributary.plans.model import RuleError
 from tributary.streaming import runner
-from tributary.streaming.store import Store
+from tributary.streaming.store import Store, WriteConflict, slot_column, slot_of
 
 CHANGE = "lsn long, seq int, kind string, object_type string, object_id string, data string, route string, old_id string, old_route string"
 
@@ -71,6 +71,75 @@ def test_retention_and_contract(spark, tmp_path):
     assert store.clear("t").last_op_id > again.last_op_id and store.table("current").count() == 0
 
 
+DOC = "object_type string, object_id string, data string, route string"
+
+
+def test_slots(spark):
+    names = ["", "a", "é漢", '1#own|0["u1"]', *(f"b{i}" for i in range(50))]
+    df = spark.createDataFrame([(n,) for n in [*names, None]], "n string")
+    assert {r.n: r.s for r in df.select("n", slot_column(F.col("n"), 64).alias("s")).collect()} == {n: slot_of(n, 64) for n in [*names, None]}
+
+
+def test_only_touched_slots_are_rewritten(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s", "c", slots=16)
+    docs = [("t", f"k{i}", f'{{"v":{i}}}', f"b{i % 40}") for i in range(400)]
+    first = store.snapshot(spark.createDataFrame(docs, DOC), 0)
+    m = store.apply(spark.createDataFrame([change(1, "insert", "k0", '{"v":-1}', "b7"), change(2, "delete", "k5"), change(3, "insert", "new", "{}", "b7")], CHANGE))
+    touched = {slot_of(b, 16) for b in ("b0", "b5", "b7")}
+    kept = {p for p in first.paths["current"] if int(p.rsplit("=", 1)[1]) not in touched}
+    assert kept <= set(m.paths["current"]) and len(set(m.paths["current"]) - kept) <= len(touched) and store.counters["rewritten_slots"] == len(touched)
+    want = {(k, d, r) for _, k, d, r in docs if k not in ("k0", "k5")} | {("k0", '{"v":-1}', "b7"), ("new", "{}", "b7")}
+    assert as_set(store.table("current").select("object_id", "data", "route")) == want
+    own = store.table("current").withColumn("bucket", F.col("route"))
+    assert as_set(store.table("sums").select("bucket", "count", "checksum")) == as_set(cdc.current_checkpoint(own))
+    near = store.current(["b7"], m)
+    assert near.filter("route = 'b7'").count() == 12 and near.count() < 400
+    assert {len(near.inputFiles()) > 0, len(near.inputFiles()) < len(store.table("current").inputFiles())} == {True}
+
+
+def test_concurrent_writers(spark, tmp_path, monkeypatch):
+    """The second of two writers from one state is told, and loses nothing by trying again."""
+    one, two = (Store(spark, f"file://{tmp_path}/s", "c") for _ in range(2))
+    one.snapshot(spark.createDataFrame([("t", "z", "{}", "r")], DOC), 0)
+    old = two.manifest()
+    one.apply(spark.createDataFrame([change(1, "insert", "a", "{}", "r")], CHANGE))
+    with monkeypatch.context() as patched:
+        patched.setattr(two, "manifest", lambda: old)
+        with pytest.raises(WriteConflict):
+            two.apply(spark.createDataFrame([change(2, "insert", "b", "{}", "r")], CHANGE))
+    assert two.counters["conflicts"] == 1
+    two.apply(spark.createDataFrame([change(2, "insert", "b", "{}", "r")], CHANGE))
+    assert {r.object_id for r in one.table("current").collect()} == {"z", "a", "b"} and one.manifest().last_op_id == old.last_op_id + 2
+
+
+def test_old_generations_go(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s", "c", old_seconds=0.0)
+    store.snapshot(spark.createDataFrame([("t", f"z{i}", "{}", f"r{i}") for i in range(20)], DOC), 0)
+    for lsn in range(1, 4):
+        store.apply(spark.createDataFrame([change(lsn, "insert", "a", f'{{"v":{lsn}}}', "r1")], CHANGE))
+    (tmp_path / "s" / "generation=99-abandoned").mkdir()  # a writer's that has not committed
+    store.prune()
+    left = {x.name for x in (tmp_path / "s").iterdir() if x.name.startswith("generation=")}
+    named = {p.split("/s/")[1].split("/")[0] for ps in store.manifest().paths.values() for p in ps}
+    assert left == named | {"generation=99-abandoned"} and len(list((tmp_path / "s" / "manifests").glob("*.json"))) == 1
+    assert store.table("current").count() == 21 and store.table("tail").count() == 3
+
+
+def test_interrupted_snapshot_is_seen(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s", "c")
+    first = store.snapshot(spark.createDataFrame([("t", "z", "{}", "r")], DOC), 0)
+    broken = spark.createDataFrame([("t", "z", "{}", "r")], DOC).withColumn("data", F.raise_error(F.lit("source is gone")).cast("string"))
+    with pytest.raises(Exception, match="source is gone"):
+        store.snapshot(broken, 5)
+    assert not store.manifest().complete and store.open() is None
+    with pytest.raises(RuleError, match="no snapshot"):
+        store.apply(spark.createDataFrame([change(9, "insert", "a", "{}", "r")], CHANGE))
+    again = store.snapshot(spark.createDataFrame([("t", "z", "{}", "r")], DOC), 5)
+    assert again.complete and again.snapshot_floor > first.last_op_id and store.open() == store.manifest()
+    with pytest.raises(RuleError, match="another contract"):
+        Store(spark, store.uri, "other").apply(spark.createDataFrame([change(9, "insert", "a", "{}", "r")], CHANGE))
+
+
 def test_update_and_truncate(spark):
     ops = cdc.derive(spark.createDataFrame([change(1, "update", "b", "{}", "r", old_id="a", old_route="q"), change(2, "update", "b", "{}", "s")], CHANGE))
     assert [(r.op, r.object_id, r.route) for r in ops.orderBy(*cdc.ORDER).collect()] == [("REMOVE", "a", "q"), ("PUT", "b", "r"), ("PUT", "b", "s")]

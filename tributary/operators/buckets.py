@@ -10,7 +10,7 @@ from __future__ import annotations
 import itertools
 import json
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from ..functions.render import document, quoted
 from ..plans.model import Binding, Lookup, Output, Plan, Projection, Query, RuleError, Stream
 from ..plans.model import Column as Name
-from .predicates import array_of, request_predicate, request_value, row_predicate
+from .predicates import array_of, request_column, request_predicate, request_value, row_predicate
 
 #: Bounds of one request: buckets named, and buckets that its values resolve to.
 MAX_BUCKETS, MAX_RESOLVED = 256, 10_000
@@ -145,6 +145,28 @@ def lookup_values(lookup: Lookup, rows: DataFrame, requests: DataFrame, keys: Se
     return joined.select(*[requests[c] for c in requests.columns], "value").distinct()
 
 
+def requested(plan: Plan, stream: str, requests: DataFrame, column: Callable[[Binding], Column], tables: Mapping[str, DataFrame] | None = None) -> DataFrame:
+    """The columns of requests and bucket, for many requests at once: what resolve() gives for each of them. column
+    names the value of a binding in a request; arrays are JSON text, exploded, and lookups are joined."""
+    parts = []
+    for g, queries in enumerate(plan.stream(stream).groups()):
+        q = queries[0]
+        rows = requests if q.request_filter is None else requests.filter(request_column(q.request_filter, column))
+        for i, p in enumerate(q.parameters):
+            if p.binding.kind == "lookup":
+                keys = {f"__k{j}": column(b).cast("string") for j, (_, b) in enumerate(q.lookup.keys)}
+                found = lookup_values(q.lookup, (tables or {})[q.lookup.table], rows.withColumns(keys), list(keys))
+                rows = found.drop(*keys).withColumnRenamed("value", f"__v{i}")
+            elif p.binding.kind == "array":
+                text = column(p.binding).cast("string")
+                each = F.coalesce(F.from_json(text, "array<string>"), F.array(text))
+                rows = rows.withColumn(f"__v{i}", F.explode(F.array_distinct(F.array_compact(each))))
+            else:
+                rows = rows.withColumn(f"__v{i}", column(p.binding).cast("string")).filter(F.col(f"__v{i}").isNotNull())
+        parts.append(rows.select(*requests.columns, bucket_name(stream, g, [F.col(f"__v{i}") for i in range(len(q.parameters))]).alias("bucket")))
+    return reduce(DataFrame.unionByName, parts).distinct()
+
+
 def resolve(plan: Plan, stream: str, request: Mapping[str, Mapping], tables: Mapping[str, DataFrame] | None = None) -> list[str]:
     """The bucket names of a subscription: the product of the values of its parameters. A value that is missing
     resolves to nothing. Only this request's values reach the driver, and their number is bounded."""

@@ -36,15 +36,32 @@ def derive(changes: DataFrame) -> DataFrame:
 ORDER = ("lsn", "seq", "sub")
 
 
+#: Bits of monotonically_increasing_id that number the rows of a partition.
+ROW_BITS = 33
+
+
+def in_order(df: DataFrame, *order: str) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """df by one range exchange, with part (ranges in order) and row (from 0, sorted in each), settled; and the number
+    of rows of each part that has any, one small row a partition."""
+    at = F.monotonically_increasing_id()
+    spread = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", at)
+    kept = settled(spread).withColumns({"part": F.shiftright("at", ROW_BITS).cast("int"), "row": F.col("at").bitwiseAND(F.lit((1 << ROW_BITS) - 1))}).drop("at")
+    sizes = kept.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()
+    return kept, sorted((r["part"], r["n"]) for r in sizes)
+
+
 def with_op_ids(ops: DataFrame, last_op_id: int = 0) -> DataFrame:
-    """Dense operation ids in commit order, after last_op_id. A range exchange sorts, and is checkpointed so that its
-    bounds hold for good; each partition then needs only the number of rows before it, one small row a partition."""
-    spread = settled(ops.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).withColumn("part", F.spark_partition_id()))
-    local = Window.partitionBy("part").orderBy(*ORDER)
-    sizes = spread.groupBy("part").count()
-    before = F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("part", before.alias("before"))
-    return spread.withColumn("nth", F.row_number().over(local)).join(F.broadcast(starts), "part").withColumn("op_id", F.lit(last_op_id) + F.col("before") + F.col("nth")).drop("part", "nth", "before")
+    """Dense operation ids in commit order, after last_op_id. Operations are shuffled once, by range; a row's number in
+    its range and the rows of the ranges before it make its id."""
+    kept, sizes = in_order(ops, *ORDER)
+    before, total = {}, last_op_id
+    for part, n in sizes:
+        before[part] = total
+        total += n
+    if not before:
+        return kept.drop("part", "row").withColumn("op_id", F.lit(0).cast("long"))
+    starts = F.element_at(F.create_map(*[F.lit(x) for part, b in before.items() for x in (part, b)]), F.col("part"))
+    return kept.withColumn("op_id", (starts + F.col("row") + 1).cast("long")).drop("part", "row")
 
 
 def keyed() -> Window:

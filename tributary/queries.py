@@ -201,7 +201,8 @@ def param_lookup_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def param_lookup_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = compile_streams([("orders", ["SELECT o_orderkey AS id FROM orders, m AS b WHERE orders.o_custkey = b.custkey"], False)], {"m": "SELECT custkey FROM members WHERE nation = auth.user_id() AND segment = request.jwt() ->> 'segment'"})
     own = members(spark, sf_dir)
-    requests = read_table(spark, sf_dir, "nation").join(F.broadcast(own.select("segment").distinct())).select(F.col("n_name").alias("request"), "segment", F.col("n_nationkey").cast("string").alias("k"))
+    asked = own.select("nation", "segment").distinct()
+    requests = read_table(spark, sf_dir, "nation").join(asked, F.col("n_nationkey").cast("string") == F.col("nation")).select(F.col("n_name").alias("request"), "segment", F.col("nation").alias("k"))
     found = buckets.lookup_values(plan.lookups()[0], own, requests, ["k", "segment"])
     return found.select("request", "segment", buckets.bucket_name("orders", 0, [F.col("value")]).alias("bucket"))
 
@@ -217,10 +218,11 @@ def lookup_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT event_id, '1#by_key|0["' || v || '"]' AS bucket FROM (SELECT event_id, unnest([event_type, 'k' || (json_extract(props, '$.k')::INT % 10)]) AS v FROM events)""")
 def json_each_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each event is a request with an array of values, exploded to buckets."""
-    arrays = F.to_json(F.array("event_type", F.concat(F.lit("k"), (F.get_json_object("props", "$.k").cast("int") % 10).cast("string"))))
-    requests = read_table(spark, sf_dir, "events").select("event_id", F.explode(F.from_json(arrays, "array<string>")).alias("v"))
-    return requests.select("event_id", buckets.bucket_name("by_key", 0, [F.col("v")]).alias("bucket"))
+    """Each event is a request with an array of values, which json_each takes apart."""
+    plan = compile_streams([("by_key", ["SELECT o_orderkey AS id FROM orders, a WHERE o_orderstatus = a.value"], False)], {"a": "SELECT value FROM json_each(request.parameter_array('v'))"})
+    values = F.to_json(F.array("event_type", F.concat(F.lit("k"), (F.get_json_object("props", "$.k").cast("int") % 10).cast("string"))))
+    requests = read_table(spark, sf_dir, "events").select("event_id", values.alias("v"))
+    return buckets.requested(plan, "by_key", requests, lambda b: F.col(b.name)).select("event_id", "bucket")
 
 
 @query("""SELECT DISTINCT '1#both|0["' || s || '","' || k || '"]' AS bucket FROM (SELECT unnest(['F', 'O', 'P']) AS s), (SELECT unnest(['1', '2', '3', '4']) AS k)""")
@@ -263,8 +265,12 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_id").alias("lsn"), F.lit(0).alias("seq"), F.when(gone, "delete").otherwise("insert").alias("kind"), F.lit("users").alias("object_type"), F.col("user_id").cast("string").alias("object_id"), F.when(~gone, doc).alias("data"), F.when(~gone, F.col("event_type")).alias("route"), none.alias("old_id"), none.alias("old_route"))
 
 
+def ops_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cdc.with_op_ids(cdc.derive(changes(spark, sf_dir)))
+
+
 def tail_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cdc.enrich(cdc.with_op_ids(cdc.derive(changes(spark, sf_dir))))
+    return cdc.enrich(ops_of(spark, sf_dir))
 
 
 def bucket_of(route):
@@ -275,14 +281,17 @@ def effects_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cdc.effects(tail_of(spark, sf_dir), bucket_of)
 
 
-def current_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ops = cdc.with_op_ids(cdc.derive(changes(spark, sf_dir)))
+def rows_of(ops: DataFrame) -> DataFrame:
     return cdc.latest(ops).select(bucket_of(F.col("route")).alias("bucket"), "object_type", "object_id", "data")
 
 
+def current_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows_of(ops_of(spark, sf_dir))
+
+
 @query(f"WITH {OPS_SQL} SELECT op_id, op, object_id, data FROM ops")
 def cdc_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cdc.with_op_ids(cdc.derive(changes(spark, sf_dir))).select("op_id", "op", "object_id", "data")
+    return ops_of(spark, sf_dir).select("op_id", "op", "object_id", "data")
 
 
 @query(f"WITH {OPS_SQL} SELECT op_id, previous_data, previous_route FROM tail")
@@ -306,7 +315,8 @@ ENTRY_SQL = f"CASE WHEN effect = 'PUT' THEN {put_sql("'users'", 'object_id', 'da
 @query(f"WITH {EFFECTS_SQL} SELECT bucket, count(*) AS count, {signed_sum(ENTRY_SQL)} AS checksum FROM effects GROUP BY bucket")
 def cdc_superseded_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Current documents plus what is superseded; the SQL sums what was ever sent, which must be the same."""
-    return cdc.checkpoint(cdc.current_checkpoint(current_rows(spark, sf_dir)), cdc.superseded_checkpoint(effects_of(spark, sf_dir)))
+    ops = ops_of(spark, sf_dir)  # settled: both sides read it
+    return cdc.checkpoint(cdc.current_checkpoint(rows_of(ops)), cdc.superseded_checkpoint(cdc.effects(cdc.enrich(ops), bucket_of)))
 
 
 @query("SELECT count(*) AS ops, count(DISTINCT event_id) AS lsns FROM events")
@@ -476,10 +486,15 @@ def lsn_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH r AS (SELECT *, row_number() OVER (ORDER BY event_id) - row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS run FROM events)
 SELECT event_type, len, count(*) AS runs FROM (SELECT event_type, run, count(*) AS len FROM r GROUP BY event_type, run) GROUP BY event_type, len""")
 def run_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lengths of runs of equal event types; event_id is dense, so runs need no global order."""
+    """Lengths of runs of equal event types; event_id is dense, so a run begins where the event before it differs. A
+    run ends where the next begins: in its own range of starts, or at the first start of a later range."""
     e = read_table(spark, sf_dir, "events")
     before = e.select((F.col("event_id") + 1).alias("event_id"), F.col("event_type").alias("was"))
     starts = e.join(before, "event_id", "left").filter("was is null or was != event_type").select("event_id", "event_type")
-    run = starts.withColumn("next", F.lead("event_id").over(Window.orderBy("event_id")))
-    end = e.agg((F.max("event_id") + 1).alias("end"))
-    return run.join(F.broadcast(end)).select("event_type", (F.coalesce("next", "end") - F.col("event_id")).alias("len")).groupBy("event_type", "len").agg(F.count(F.lit(1)).alias("runs"))
+    kept, sizes = cdc.in_order(starts, "event_id")
+    heads = {r["part"]: r["head"] for r in kept.groupBy("part").agg(F.min("event_id").alias("head")).collect()}  # a row a partition
+    end = e.agg(F.max("event_id")).first()[0]
+    ends = {part: after for (part, _), after in zip(sizes, [heads[p] for p, _ in sizes[1:]] + [(end or 0) + 1], strict=True)} if sizes else {0: 0}
+    last = F.element_at(F.create_map(*[F.lit(x) for kv in ends.items() for x in kv]), F.col("part"))
+    upto = F.coalesce(F.lead("event_id").over(Window.partitionBy("part").orderBy("event_id")), last)
+    return kept.select("event_type", (upto - F.col("event_id")).alias("len")).groupBy("event_type", "len").agg(F.count(F.lit(1)).alias("runs"))

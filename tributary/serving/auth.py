@@ -75,11 +75,11 @@ def flatten(value: Mapping, prefix: str = "") -> dict[str, str]:
 
 def b64url(text: str) -> bytes:
     if "=" in text:
-        raise AuthError("Authentication failed")
+        raise AuthError("the token is not accepted")
     try:
         return base64.b64decode(text + "=" * (-len(text) % 4), altchars=b"-_", validate=True)
     except (binascii.Error, ValueError):
-        raise AuthError("Authentication failed") from None
+        raise AuthError("the token is not accepted") from None
 
 
 def seconds(value) -> int | None:
@@ -102,15 +102,15 @@ def bearer(headers: Mapping[str, str]) -> str:
     """The token of an Authorization header: two words, the first Bearer or Token."""
     given = next((v for k, v in headers.items() if k.lower() == "authorization"), "").split()
     if len(given) != 2 or given[0].lower() not in ("bearer", "token"):
-        raise AuthError("Authentication required")
+        raise AuthError("a token is needed: Authorization: Bearer ...")
     return given[1]
 
 
 @dataclass(frozen=True)
 class Users:
-    """Checks tokens of users; a policy without values is not applied."""
+    """Checks tokens of users; without keys nobody is let in, and a policy without values is not applied."""
 
-    keys: Sequence[Secret | PublicKey]
+    keys: Sequence[Secret | PublicKey] = ()
     audiences: Sequence[str] = ()
     issuers: Sequence[str] = ()
     clock: Callable[[], float] = time.time
@@ -120,19 +120,19 @@ class Users:
         own = [k for k in self.keys if isinstance(k, kind)]
         found = [k for k in own if k.kid == kid] if kid is not None else own
         if len(found) != 1:
-            raise AuthError("Authentication failed")
+            raise AuthError("the token is not accepted")
         return found[0]
 
     def verify(self, token: str) -> Token:
         parts = token.split(".")
         if len(parts) != 3:
-            raise AuthError("Authentication failed")
+            raise AuthError("the token is not accepted")
         try:
             header, claims = (json.loads(b64url(p)) for p in parts[:2])
         except ValueError:
-            raise AuthError("Authentication failed") from None
+            raise AuthError("the token is not accepted") from None
         if not isinstance(header, dict) or not isinstance(claims, dict):
-            raise AuthError("Authentication failed")
+            raise AuthError("the token is not accepted")
         signed, signature = ".".join(parts[:2]).encode(), b64url(parts[2])
         match header.get("alg"):
             case "HS256":
@@ -142,7 +142,7 @@ class Users:
             case _:
                 right = False
         if not right:
-            raise AuthError("Authentication failed")
+            raise AuthError("the token is not accepted")
         return self.accept(claims)
 
     def accept(self, claims: Mapping) -> Token:
@@ -153,10 +153,12 @@ class Users:
         named = [aud] if isinstance(aud, str) else [a for a in aud if isinstance(a, str)] if isinstance(aud, list) else []
         fits = (not self.audiences or bool(set(named) & set(self.audiences))) and (not self.issuers or isinstance(claims.get("iss"), str) and claims["iss"] in self.issuers)
         if exp is None or exp <= now or begun is None or begun > now + LEEWAY or not fits:
-            raise AuthError("Authentication failed")
+            raise AuthError("the token is not accepted")
         return Token(claims, exp, next((claims[k] for k in ("sub", "user_id") if isinstance(claims.get(k), str)), None))
 
     def authorize(self, headers: Mapping[str, str]) -> Token:
+        if not self.keys:
+            raise AuthError("no keys are configured, so nobody is let in")
         return self.verify(bearer(headers))
 
 
@@ -168,7 +170,7 @@ class ApiTokens:
 
     def authorize(self, headers: Mapping[str, str]) -> None:
         if not self.tokens:
-            raise AuthError("Authentication disabled")
+            raise AuthError("no keys are configured, so nobody is let in")
         given = bearer(headers).encode()
         if not any([hmac.compare_digest(given, t.encode()) for t in self.tokens]):
-            raise AuthError("Authentication failed")
+            raise AuthError("the token is not accepted")

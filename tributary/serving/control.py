@@ -19,6 +19,7 @@ from ..plans.model import Plan, RuleError
 
 HISTORY = 64
 LAYOUT = "rules that change the layout of stored state need a new store"
+REPROCESS = "rules are not reprocessed in place: stored state is rebuilt by a new snapshot"
 
 
 class Conflict(Exception):
@@ -127,9 +128,8 @@ class Control:
         return self.outcome("deploy", entry if met else self.activate(), not met)
 
     def reprocess(self, base_version: int | None = None, token: str | None = None) -> dict:
-        """Stage and activate the active rules once more, as a new version."""
-        entry, met = self.stage(self.current.content, "reprocess", base_version, token)
-        return self.outcome("reprocess", entry if met else self.activate(), not met)
+        """Refused, whatever is wished: stored state is rebuilt by a new snapshot only, and the active rules stay."""
+        raise Conflict(REPROCESS)
 
     def outcome(self, operation: str, entry: Entry, changed: bool) -> dict:
         return {"operation": operation, "version": entry.version, "base_version": entry.base_version, "status": entry.status, "changed": changed}

@@ -11,11 +11,11 @@ import json
 import re
 import threading
 import time
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import buckets, cdc, serve
@@ -33,6 +33,14 @@ JSON = "application/json; charset=utf-8"
 MAX_BODY, READERS, READER_WAIT, MAX_SECONDS = 256 * 1024, 8, 2.0, 300.0
 
 
+@dataclass(frozen=True)
+class Budget:
+    """What one response may hold: entries, and bytes of their documents and keys."""
+
+    entries: int = 250_000
+    chars: int = 128 << 20
+
+
 @dataclass
 class Response:
     status: int
@@ -63,7 +71,7 @@ def encoding(headers: Mapping[str, str], binary: bool) -> str:
         return found[0]
     if NDJSON in accept or "*/*" in accept:
         return NDJSON
-    raise Bad(406, f"supported content types: {NDJSON}, application/bson-stream")
+    raise Bad(406, f"responses are {NDJSON} or application/bson-stream")
 
 
 def body_of(body: bytes) -> dict:
@@ -89,12 +97,16 @@ def shaped(request: Mapping, name: str, kind: type, default):
 
 
 class Service:
-    """`bucket` names the bucket of a stored route; `tables` has the rows of lookup tables."""
-
-    def __init__(self, store: Store, control: Control, users: Users | None = None, api: ApiTokens | None = None, tables: Mapping[str, DataFrame] | None = None, bucket: Callable[[Column], Column] = lambda route: route):
-        self.store, self.control, self.users, self.api = store, control, users, api or ApiTokens()
-        self.tables, self.bucket = tables or {}, bucket
-        self.ready = lambda: (m := store.manifest()) is not None and m.complete
+    """`tables` has the rows of lookup tables. Without users nobody is let in, unless `anonymous` says that everybody
+    may read every bucket."""
+
+    def __init__(self, store: Store, control: Control, users: Users | None = None, api: ApiTokens | None = None, tables: Mapping[str, DataFrame] | None = None, anonymous: bool = False):
+        if anonymous and users:
+            raise ValueError("either users have tokens or everybody may read")
+        self.store, self.control, self.api, self.anonymous = store, control, api or ApiTokens(), anonymous
+        self.users = users or Users()
+        self.tables, self.budget = tables or {}, Budget()
+        self.ready = lambda: store.open() is not None
         self.readers = threading.BoundedSemaphore(READERS)
         self.served = {"requests": 0, "lines": 0, "refused": 0}
 
@@ -127,10 +139,10 @@ class Service:
         return {name: seen.get(name, 0) for name in wanted}
 
     def allow(self, plan: Plan, name, defaults: list[str], token: Token | None) -> None:
-        """A bucket that is named outright must be a default of the request; without any users, it must exist."""
+        """A bucket that is named outright must be a default of the request; if everybody may read, it must exist."""
         if not isinstance(name, str):
             raise Bad(422, "a bucket is named by a text")
-        if token is None and self.users is None:
+        if token is None:
             stream, group, values = buckets.parse_bucket(name)
             groups = plan.stream(stream).groups()
             if group >= len(groups) or len(groups[group][0].parameters) != len(values):
@@ -141,18 +153,42 @@ class Service:
     # -- lines ---------------------------------------------------------------------------------------------------------
 
     def lines(self, cursors: Mapping[str, int]) -> tuple[Iterator[str], int]:
-        """The response from one manifest, and the operation at which every bucket then stands."""
+        """The response from one manifest, and the operation at which every bucket then stands. Only the parts of the
+        store that can hold the buckets are read; their sums are those that the store keeps."""
         m, spark = self.store.manifest(), self.store.spark
-        own = F.col("bucket").isin(list(cursors))
-        rows = self.store.table("current", m).withColumn("bucket", self.bucket(F.col("route"))).filter(own)
-        found = cdc.effects(self.store.table("tail", m), self.bucket).filter(own)
-        gone = self.store.table("superseded", m).withColumn("bucket", self.bucket(F.col("bucket"))).filter(own)
-        old = cdc.superseded_checkpoint(found).unionByName(gone.select("bucket", "count", "checksum")).groupBy("bucket").agg(F.sum("count").alias("count"), cdc.checksum_sum().alias("checksum"))
+        names = list(cursors)
+        own = F.col("bucket").isin(names)
+        rows = self.store.current(names, m).withColumn("bucket", F.col("route")).filter(own)
+        sums = self.store.sums(names, m).filter(own)
+        found = cdc.effects(self.store.table("tail", m), lambda route: route).filter(own)
+        gone = self.store.table("superseded", m).filter(own)
+        old = cdc.superseded_checkpoint(found).unionByName(gone).groupBy("bucket").agg(F.sum("count").alias("count"), cdc.checksum_sum().alias("checksum"))
         asked = serve.decide(spark.createDataFrame(list(cursors.items()), "bucket string, after long"), m.last_op_id, m.snapshot_floor, m.retained_floor)
+        asked = self.within_budget(asked, found, sums)
         entries = serve.snapshot_entries(rows, asked, m.last_op_id, old).unionByName(serve.delta_entries(found, asked))
-        out = serve.lines(cdc.checkpoint(cdc.current_checkpoint(rows), old), entries, asked, m.last_op_id)
+        out = serve.lines(cdc.checkpoint(sums.select("bucket", "count", "checksum"), old), entries, asked, m.last_op_id)
         return (r["json"] for r in out.select("line_no", "json").orderBy("line_no").toLocalIterator()), m.last_op_id
 
+    def within_budget(self, asked: DataFrame, found: DataFrame, sums: DataFrame) -> DataFrame:
+        """Deltas of more entries or bytes than a request may have become resets; a request whose documents are too
+        many is refused."""
+        size = F.coalesce(F.octet_length("data"), F.lit(0)) + F.octet_length("object_type") + F.octet_length("object_id")
+        deltas = found.join(F.broadcast(asked.filter("mode = 'delta'")), "bucket").filter(F.col("op_id") > F.col("after"))
+        per = {r["bucket"]: (r["n"], r["bytes"]) for r in deltas.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes")).collect()}  # a row a bucket asked for
+        entries = chars = 0
+        reset = []
+        for bucket, (n, of) in sorted(per.items()):
+            if entries + n > self.budget.entries or chars + of > self.budget.chars:
+                reset.append(bucket)
+            else:
+                entries, chars = entries + n, chars + of
+        if reset:
+            asked = asked.withColumn("mode", F.when(F.col("bucket").isin(reset), F.lit("reset")).otherwise(F.col("mode")))
+        whole = sums.join(F.broadcast(asked.filter("mode != 'delta'").select("bucket")), "bucket").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
+        if whole["n"] + entries > self.budget.entries or whole["bytes"] + chars > self.budget.chars:
+            raise Bad(413, "the buckets hold more than one response may")
+        return asked
+
     def stream(self, cursors: dict[str, int], kind: str, seconds: float) -> Iterator[bytes]:
         """Lines of the present state and then, for up to `seconds`, of every later one."""
         end = time.monotonic() + seconds
@@ -169,7 +205,7 @@ class Service:
     def sync(self, headers: Mapping[str, str], body: bytes) -> Response:
         if not self.ready():
             return reply(503, {"error": "the store is not ready"})
-        token = self.users.authorize(headers) if self.users else None
+        token = None if self.anonymous else self.users.authorize(headers)
         request = body_of(body)
         kind = encoding(headers, bool(request.get("binary_data")))
         cursors = self.cursors(self.control.plan(), request, token)
@@ -187,9 +223,11 @@ class Service:
         started = run()
         try:
             first = next(started)  # from here on the iterator's end gives the place back, however it ends
+        except Bad:
+            raise
         except Exception as error:
             raise Bad(500, f"the buckets cannot be read: {type(error).__name__}") from error
-        return Response(200, {"Content-Type": kind}, Body(first, started))
+        return Response(200, {"Content-Type": kind, "Cache-Control": "no-store", "X-Accel-Buffering": "no"}, Body(first, started))
 
     # -- other routes --------------------------------------------------------------------------------------------------
 
@@ -253,7 +291,9 @@ class Service:
                     ready = self.ready()
                     return reply(200 if ready else 503, {"ready": ready})
                 case "/debug/metrics":
-                    return reply(200, self.served)
+                    if self.api.tokens:
+                        self.api.authorize(headers)
+                    return reply(200, self.served | self.store.counters)
             return self.manage(path, headers, body)
         except AuthError as error:
             self.served["refused"] += 1

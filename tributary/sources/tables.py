@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,12 +37,25 @@ def change_stream(spark: SparkSession, path: str, schema: T.StructType, files_pe
     return reader.parquet(path)
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one only if a local session names none."""
+    found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuleError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='tributary-')}"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """df checkpointed in the folder that the cluster shares (a temporary one if the session names none)."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="tributary-"))
-    return df.checkpoint()
+    """df written once to the shared folder and read back, until the session ends: its rows then hold for good."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tributary-settled-{uuid.uuid4().hex}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def check_publication(plan: Plan, described: Mapping[str, Mapping]) -> None:

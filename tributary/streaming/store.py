@@ -1,10 +1,15 @@
-"""The store: generations of Parquet tables under one manifest.
+"""The store: generations of Parquet tables under numbered manifests.
 
-A batch writes its tables into a new generation's folder and then replaces the
-manifest in one rename, so that readers always see one whole state: documents,
-log, lookup rows, position. A batch that was delivered before is skipped by its
-position. The manifest is written through Hadoop's file system, as Spark's
-tables are.
+A batch writes its tables into a new generation's folder and then its manifest
+under the next number, which fails if another writer has taken that number; so
+readers always see one whole state: documents, sums, log, position. A batch
+that was delivered before is skipped by its position. Manifests are written
+through Hadoop's file system, as Spark's tables are.
+
+Current documents are laid out by a hash of their route into slots, with the
+checkpoint sums of every bucket beside them. A batch rewrites only the slots
+that its operations touch, and a request reads only the slots of its buckets.
+Folders that no recent manifest names are deleted.
 """
 
 from __future__ import annotations
@@ -12,10 +17,11 @@ from __future__ import annotations
 import json
 import time
 import uuid
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,6 +37,17 @@ TAIL = T.StructType([T.StructField("op_id", T.LongType())] + [T.StructField(n, T
 SUPERSEDED = T.StructType([T.StructField("bucket", T.StringType())] + [T.StructField(n, T.LongType()) for n in ("count", "checksum")])
 
 
+#: Count and checksum (unsigned) of the current documents of a bucket, and bytes of their documents and keys.
+SUMS = T.StructType([T.StructField("bucket", T.StringType())] + [T.StructField(n, T.LongType()) for n in ("count", "checksum", "bytes")])
+SCHEMAS = {"current": CURRENT, "tail": TAIL, "superseded": SUPERSEDED, "sums": SUMS}
+#: Slots of a new store, operations up to which their keys are broadcast, seconds that an old manifest is kept.
+SLOTS, FEW, OLD_SECONDS = 64, 100_000, 900.0
+
+
+class WriteConflict(RuleError):
+    """Another writer has committed in between: the batch is to be applied to the new state."""
+
+
 @dataclass(frozen=True)
 class Manifest:
     generation: int = 0
@@ -41,102 +58,200 @@ class Manifest:
     snapshot_floor: int = 0
     retained_floor: int = 0
     complete: bool = False
-    paths: Mapping[str, tuple[str, ...]] = None  # table to its folders
+    paths: Mapping[str, tuple[str, ...]] = None  # table to its folders; those of slots end in slot=N
+    slots: int = SLOTS
+
+
+def slot_of(bucket: str | None, slots: int) -> int:
+    """The slot of a bucket; slot_column is the same for a column."""
+    x = xxhash.xxh64_intdigest((bucket or "").encode(), 42)
+    return (x - (1 << 64) if x >> 63 else x) % slots
+
+
+def slot_column(route: Column, slots: int) -> Column:
+    return F.pmod(F.xxhash64(F.coalesce(route, F.lit(""))), F.lit(slots)).cast("int")
 
 
 class Store:
-    """One store at a URI. `route` columns hold bucket values as JSON text."""
+    """One store at a URI. `route` columns hold the names of buckets."""
 
-    def __init__(self, spark: SparkSession, uri: str, contract: str, source: str = "", keep: int = KEEP):
+    def __init__(self, spark: SparkSession, uri: str, contract: str, source: str = "", keep: int = KEEP, slots: int = SLOTS, old_seconds: float = OLD_SECONDS):
         self.spark, self.uri, self.contract, self.source, self.keep = spark, uri.rstrip("/"), contract, source, keep
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.uri).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.slots, self.old_seconds = slots, old_seconds
+        self.counters = dict.fromkeys(("batches", "skipped_batches", "operations", "rewritten_slots", "conflicts", "deleted_folders"), 0)
+        self._jvm = spark.sparkContext._jvm
+        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._path = self._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.uri).getFileSystem(self._conf)
 
     # -- manifest ----------------------------------------------------------------------------------------------------
 
+    def _listed(self, folder: str) -> list[tuple[str, float]]:
+        """(name, time of its change in seconds) of what is in a folder."""
+        at = self._path(f"{self.uri}/{folder}" if folder else self.uri)
+        return [(f.getPath().getName(), f.getModificationTime() / 1000) for f in self._fs.listStatus(at)] if self._fs.exists(at) else []
+
+    def _read(self, name: str) -> Manifest:
+        stream = self._fs.open(self._path(f"{self.uri}/manifests/{name}"))
+        try:
+            return Manifest(**json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+        finally:
+            stream.close()
+
     def manifest(self) -> Manifest | None:
-        at = self._path(f"{self.uri}/manifest.json")
-        if not self._fs.exists(at):
-            return None
-        rows = self.spark.read.option("wholetext", True).text(f"{self.uri}/manifest.json").collect()
-        return Manifest(**json.loads(rows[0][0]))
+        """The newest manifest, read by the driver without a job."""
+        names = [n for n, _ in self._listed("manifests") if n.endswith(".json")]
+        return self._read(max(names)) if names else None
 
     def _commit(self, m: Manifest) -> Manifest:
-        temp, final = (self._path(f"{self.uri}/{n}") for n in (f"manifest-{uuid.uuid4().hex}", "manifest.json"))
+        """Move a manifest to its number, which must be free."""
+        temp = self._path(f"{self.uri}/manifests/{uuid.uuid4().hex}.temp")
+        final = self._path(f"{self.uri}/manifests/{m.generation:020d}.json")
         out = self._fs.create(temp, True)
         out.write(bytearray(json.dumps(asdict(m)).encode()))
         out.close()
-        jvm = self.spark.sparkContext._jvm
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(temp.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context.rename(self._fs.makeQualified(temp), self._fs.makeQualified(final), options)
+        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(temp.toUri(), self._conf)
+        options = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            context.rename(self._fs.makeQualified(temp), self._fs.makeQualified(final), options)
+        except Exception as error:
+            self._fs.delete(temp, False)
+            if not self._fs.exists(final):
+                raise
+            self.counters["conflicts"] += 1
+            raise WriteConflict(f"generation {m.generation} is another writer's") from error
         return m
 
-    def _write(self, df: DataFrame, name: str, generation: int) -> str:
-        path = f"{self.uri}/generation={generation}-{uuid.uuid4().hex[:8]}/{name}"
-        df.write.parquet(path)
-        return path
+    def prune(self) -> int:
+        """Delete manifests older than old_seconds, but never the newest, and the folders that none left names; returns
+        the number of folders. Readers pin a manifest for a shorter time than that."""
+        found = sorted((n, t) for n, t in self._listed("manifests") if n.endswith(".json"))
+        if not found:
+            return 0
+        limit = time.time() - self.old_seconds
+        kept = [n for n, t in found[:-1] if t > limit] + [found[-1][0]]
+        for n, _ in found:
+            if n not in kept:
+                self._fs.delete(self._path(f"{self.uri}/manifests/{n}"), False)
+        named = {p[len(self.uri) + 1 :].split("/")[0] for n in kept for ps in (self._read(n).paths or {}).values() for p in ps}
+        newest, gone = int(found[-1][0].split(".")[0]), 0
+        for folder, changed in self._listed(""):
+            # a folder beyond the newest generation may be a writer's that has not committed yet
+            if folder.startswith("generation=") and folder not in named and changed < limit and int(folder[11:].split("-")[0]) <= newest:
+                self._fs.delete(self._path(f"{self.uri}/{folder}"), True)
+                gone += 1
+        self.counters["deleted_folders"] += gone
+        return gone
+
+    # -- tables ------------------------------------------------------------------------------------------------------
 
-    def table(self, name: str, m: Manifest | None = None) -> DataFrame:
-        """A table of a pinned manifest (the present one if none is given)."""
+    def _folder(self, generation: int) -> str:
+        return f"{self.uri}/generation={generation}-{uuid.uuid4().hex[:8]}"
+
+    def _write(self, df: DataFrame, name: str, folder: str) -> str:
+        df.write.parquet(f"{folder}/{name}")
+        return f"{folder}/{name}"
+
+    def _write_slots(self, df: DataFrame, name: str, folder: str, route: str) -> tuple[str, ...]:
+        """Write a table by slot; large slots are dealt to several tasks, small ones share one."""
+        slotted = df.withColumn("slot", slot_column(F.col(route), self.slots))
+        slotted.hint("rebalance", "slot").write.partitionBy("slot").parquet(f"{folder}/{name}")
+        at = f"{folder}/{name}"
+        return tuple(sorted(f"{at}/{n}" for n, _ in self._listed(at[len(self.uri) + 1 :]) if n.startswith("slot=")))
+
+    def _read_paths(self, name: str, paths: Sequence[str]) -> DataFrame:
+        return self.spark.read.schema(SCHEMAS[name]).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMAS[name])
+
+    def table(self, name: str, m: Manifest | None = None, slots: set[int] | None = None) -> DataFrame:
+        """A table of a pinned manifest (the present one if none is given), of some slots only if they are named."""
         m = m or self.manifest()
-        schema = {"current": CURRENT, "tail": TAIL, "superseded": SUPERSEDED}[name]
         paths = list((m.paths or {}).get(name, ())) if m else []
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        return self._read_paths(name, [p for p in paths if slots is None or int(p.rsplit("slot=", 1)[1]) in slots])
+
+    def current(self, names: Sequence[str], m: Manifest) -> DataFrame:
+        """Current documents of the slots that hold these buckets."""
+        return self.table("current", m, {slot_of(n, m.slots) for n in names})
+
+    def sums(self, names: Sequence[str], m: Manifest) -> DataFrame:
+        return self.table("sums", m, {slot_of(n, m.slots) for n in names})
+
+    def _state(self, rows: DataFrame, folder: str) -> dict[str, tuple[str, ...]]:
+        """Write documents and the sums of their buckets."""
+        current = self._write_slots(rows.select(*CURRENT.names), "current", folder, "route")
+        kept = self._read_paths("current", current)
+        size = F.coalesce(F.octet_length("data"), F.lit(0)) + F.octet_length("object_type") + F.octet_length("object_id")
+        checked = kept.select(F.col("route").alias("bucket"), cdc.put_checksum(F.col("object_type"), F.col("object_id"), F.col("data")).alias("checksum"), size.alias("bytes"))
+        sums = checked.groupBy("bucket").agg(F.count(F.lit(1)).alias("count"), cdc.checksum_sum().alias("checksum"), F.sum("bytes").alias("bytes"))
+        return {"current": current, "sums": self._write_slots(sums.select(*SUMS.names), "sums", folder, "bucket")}
 
     # -- writing -----------------------------------------------------------------------------------------------------
 
+    def fits(self, m: Manifest | None) -> bool:
+        """Whether a manifest is a finished store of this contract and source."""
+        return m is not None and m.complete and m.contract == self.contract and m.source == self.source
+
     def open(self) -> Manifest | None:
         """The manifest, or None if the store has to be built: it is empty, unfinished, or of another contract or
         source. An unfinished build begins anew with operation ids that no earlier cursor has."""
         m = self.manifest()
-        if m is None or m.complete and m.contract == self.contract and m.source == self.source:
-            return m
-        return None
+        return m if self.fits(m) else None
 
     def snapshot(self, documents: DataFrame, lsn: int) -> Manifest:
         """Seed the store with documents (object_type, object_id, data, route). They take operation ids but are not in
-        the log; cursors from before are below the floor."""
+        the log; cursors from before are below the floor. That it has begun is committed first, so that an interrupted
+        build is seen as unfinished."""
         old = self.manifest()
         base = max(old.last_op_id, int(time.time() * 1000) * EPOCH) if old else 0
+        begun = self._commit(Manifest((old.generation if old else 0) + 1, self.contract, self.source, -1, base, base, base, False, {}, self.slots))
         rows = documents.withColumns({"lsn": F.lit(0), "seq": F.xxhash64("object_type", "object_id"), "sub": F.struct("object_type", "object_id")})
-        rows = cdc.with_op_ids(rows, base).select(*CURRENT.names)
-        generation = (old.generation if old else 0) + 1
-        path = self._write(rows, "current", generation)
-        last = base + self.spark.read.parquet(path).count()
-        return self._commit(Manifest(generation, self.contract, self.source, lsn, last, last, last, True, {"current": (path,), "tail": ()}))
+        generation = begun.generation + 1
+        paths = self._state(cdc.with_op_ids(rows, base), self._folder(generation))
+        last = base + self._read_paths("current", paths["current"]).count()
+        return self._commit(replace(begun, generation=generation, last_lsn=lsn, last_op_id=last, snapshot_floor=last, retained_floor=last, complete=True, paths=paths | {"tail": ()}))
 
     def apply(self, changes: DataFrame) -> Manifest:
         """Fold in changes (see cdc.derive); transactions at or below the stored position are skipped."""
         m = self.manifest()
         if m is None or not m.complete:
             raise RuleError("the store has no snapshot")
+        if not self.fits(m):
+            raise RuleError("the store is of another contract or source and has to be built anew")
         fresh = cdc.not_yet_applied(changes, m.last_lsn)
-        top = fresh.agg(F.max("lsn")).first()[0]
+        ops = cdc.with_op_ids(cdc.derive(fresh), m.last_op_id)
+        top, last = ops.agg(F.max("lsn"), F.max("op_id")).first()
         if top is None:
+            self.counters["skipped_batches"] += 1
             return m
-        current = self.table("current", m)
-        ops = cdc.with_op_ids(cdc.derive(fresh), m.last_op_id)
         generation = m.generation + 1
-        tail = self._write(cdc.enrich(ops, current).select(*TAIL.names), "tail", generation)
-        state = self._write(cdc.latest(ops, current).select(*CURRENT.names), "current", generation)
-        last = m.last_op_id + self.spark.read.schema(TAIL).parquet(tail).count()
-        old = m.paths.get("superseded", ())
-        paths, floor = (*m.paths["tail"], tail), max(m.retained_floor, last - self.keep)
+        folder = self._folder(generation)
+        # only the stored images of the keys at hand are joined
+        keys = ops.select("object_type", "object_id").distinct()
+        near = self.table("current", m).join(F.broadcast(keys) if last - m.last_op_id <= FEW else keys, ["object_type", "object_id"], "left_semi")
+        tail = self._write(cdc.enrich(ops, near).select(*TAIL.names), "tail", folder)
+        mine = self._read_paths("tail", [tail])
+        at = lambda route: F.when(F.col(route).isNotNull(), slot_column(F.col(route), m.slots))
+        touched = {r[0] for r in mine.select(F.explode(F.array_compact(F.array(at("route"), at("previous_route"))))).distinct().collect()}  # at most m.slots numbers
+        state = self._state(cdc.latest(ops, self.table("current", m, touched)), folder)
+        same = {n: tuple(p for p in m.paths.get(n, ()) if int(p.rsplit("slot=", 1)[1]) not in touched) for n in ("current", "sums")}
+        paths = {n: same[n] + state[n] for n in ("current", "sums")}
+        paths |= {"tail": (*m.paths["tail"], tail), "superseded": tuple(m.paths.get("superseded", ()))}
+        floor = max(m.retained_floor, last - self.keep)
         if floor > m.retained_floor:
-            whole = self.spark.read.schema(TAIL).parquet(*paths)
-            paths = (self._write(cdc.retained(whole, last, self.keep), "tail", generation),)
+            whole = self._read_paths("tail", paths["tail"])
+            paths["tail"] = (self._write(cdc.retained(whole, last, self.keep), "kept", folder),)
             # sums go on counting what leaves the log, as clients received it
             dropped = cdc.superseded_checkpoint(cdc.effects(whole.filter(F.col("op_id") <= last - self.keep), lambda route: route))
             sums = self.table("superseded", m).unionByName(dropped).groupBy("bucket").agg(F.sum("count").alias("count"), cdc.checksum_sum().alias("checksum"))
-            old = (self._write(sums.select(*SUPERSEDED.names), "superseded", generation),)
-        return self._commit(replace(m, generation=generation, last_lsn=int(top), last_op_id=last, retained_floor=floor, paths={"current": (state,), "tail": paths, "superseded": old}))
+            paths["superseded"] = (self._write(sums.select(*SUPERSEDED.names), "superseded", folder),)
+        done = self._commit(replace(m, generation=generation, last_lsn=int(top), last_op_id=last, retained_floor=floor, paths=paths))
+        for name, n in (("batches", 1), ("operations", last - m.last_op_id), ("rewritten_slots", len(touched))):
+            self.counters[name] += n
+        self.prune()
+        return done
 
     def clear(self, object_type: str | None = None) -> Manifest:
         """Take away all documents, or those of a type, with a new floor."""
         m = self.manifest()
         left = self.table("current", m).filter(F.lit(False) if object_type is None else F.col("object_type") != object_type)
-        path = self._write(left, "current", m.generation + 1)
-        return self._commit(replace(m, generation=m.generation + 1, last_op_id=m.last_op_id + 1, snapshot_floor=m.last_op_id + 1, retained_floor=m.last_op_id + 1, paths={"current": (path,), "tail": ()}))
+        paths = self._state(left, self._folder(m.generation + 1))
+        return self._commit(replace(m, generation=m.generation + 1, last_op_id=m.last_op_id + 1, snapshot_floor=m.last_op_id + 1, retained_floor=m.last_op_id + 1, paths=paths | {"tail": ()}))
