@@ -36,10 +36,10 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -82,7 +82,8 @@ SCOPE = frozenset("html body article main section div ul ol dl table aside nav f
 TOKEN = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
-CLAUSE = re.compile(r"[.!?;:,|·•\s]*[.!?;:,|·•\n\r]+\s*")
+#: What separates clauses, the features of texts.
+CLAUSE_ENDS = ".!?;:,|·•"
 #: The end of an element whose content is not markup, in any case of letters.
 RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I | re.A) for t in RAW}
 
@@ -270,20 +271,47 @@ def main_text(page: str | None, low: frozenset[int] = frozenset()) -> str:
     return " ".join(out)
 
 
-def style_nodes(page: str | None) -> list[tuple[int, int, int, int]]:
-    """(path, kind, value, count) of a page: of every path, its presentation (kind 0, once) and its features (kind 1);
-    elements of one path are one node."""
+def clauses(text: str) -> list[str]:
+    """The clauses of a text, white space as one space."""
+    text = " ".join(text.split())
+    for c in CLAUSE_ENDS:
+        if c in text:
+            text = text.replace(c, "\n")
+    return [c for x in text.split("\n") if (c := x.strip())]
+
+
+def features(page: str | None) -> dict[tuple[int, int, int], int]:
+    """{(path, kind, value): count} of a page, numbers unsigned: of every path, its presentation (kind 0, once) and its
+    features (kind 1); elements of one path are one node."""
+    import xxhash
+
+    digest = xxhash.xxh64_intdigest
     shapes: dict[int, list[str]] = {}
-    features: dict[int, Counter[str]] = {}
+    out: dict[tuple[int, int, int], int] = {}
     for node in tree(page or "")[1:]:
-        # repeated children count once: a list of three or of four items is presented alike
-        shapes.setdefault(node.path, []).extend(dict.fromkeys(p.style for p in node.parts if isinstance(p, Node)))
-        own = features.setdefault(node.path, Counter())
-        own.update(c for p in node.parts if isinstance(p, str) for c in (" ".join(x.split()) for x in CLAUSE.split(p)) if c)
-        if node.address:
-            own[f"@{node.address}"] += 1
-    out = [(path, 0, signed64("|".join(s)), 1) for path, s in shapes.items()]
-    return out + [(path, 1, signed64(f), n) for path, own in features.items() for f, n in own.items()]
+        path = node.path
+        styles: dict[str, None] = {}  # repeated children count once: a list of three or of four items is presented alike
+        own = [f"@{node.address}"] if node.address else []
+        for p in node.parts:
+            if isinstance(p, str):
+                own += clauses(p)
+            else:
+                styles[p.style] = None
+        if path in shapes:
+            shapes[path] += styles
+        else:
+            shapes[path] = list(styles)
+        for f in own:
+            key = (path, 1, digest(f))
+            out[key] = out.get(key, 0) + 1
+    for path, styles in shapes.items():
+        out[path, 0, digest("|".join(styles))] = 1
+    return out
+
+
+def style_nodes(page: str | None) -> list[tuple[int, int, int, int]]:
+    """(path, kind, value, count) of a page's features, numbers signed."""
+    return [(path, kind, value - (1 << 64) if value >> 63 else value, n) for (path, kind, value), n in features(page).items()]
 
 
 FIELDS = ("path", "kind", "value", "n")
@@ -293,12 +321,14 @@ NODES_ARROW = pa.struct([(x, pa.int64()) for x in FIELDS])
 
 @F.arrow_udf(NODES)
 def nodes_of(pages: pa.Array) -> pa.Array:
-    each = [style_nodes(p) for p in pages.to_pylist()]
-    ends = [0]
-    for x in each:
-        ends.append(ends[-1] + len(x))
-    columns = list(zip(*(row for x in each for row in x), strict=True)) or [[]] * len(FIELDS)
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], fields=list(NODES_ARROW)))
+    each = [features(p) for p in pages.to_pylist()]
+    ends = np.cumsum([0, *map(len, each)])
+    keys = np.array([k[2] for x in each for k in x], np.uint64).view(np.int64)
+    paths = np.array([k[0] for x in each for k in x], np.int64)
+    kinds = np.array([k[1] for x in each for k in x], np.int64)
+    counts = np.array([n for x in each for n in x.values()], np.int64)
+    rows = pa.StructArray.from_arrays([pa.array(c) for c in (paths, kinds, keys, counts)], fields=list(NODES_ARROW))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
 
 
 def host_of(url: Column) -> Column:
