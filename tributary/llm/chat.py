@@ -3,7 +3,8 @@
 Messages form trees by their parent's id. Self-joins that double the distance
 (a message to its parent, to its grandparent, four up, ...) give each message
 its root and the score summed along its path; leaves are ranked by the mean
-score of their path within a tree, and the chosen paths are spread out again by
+score of their path within a tree (by one range exchange, so that the leaves of
+a large tree are split), and the chosen paths are spread out again by
 the same jumps, so both take as many joins as the longest path has binary
 digits. Only ids and scores are joined on the way; texts come in once at the
 end, a conversation at a time.
@@ -18,9 +19,9 @@ with & as &amp; and < as &lt; in roles and texts, and a newline in a role as
 texts back exactly.
 
 Defined cases: null text and null role count as empty; a message whose parent
-is null, missing, itself or not an earlier message is a root; messages that
-repeat an id of a tree count as their least (role, text) once; a null tree id is a tree of
-its own; an empty table gives an empty result; other columns are ignored. For
+is null, missing or itself is a root; in a circle of replies, the links to a
+later id are dropped; messages that repeat an id of a tree count as their least
+(role, text) once; a null tree id is a tree of its own; an empty table gives an empty result; other columns are ignored. For
 rows by turn, equal turns follow each other by role and text, each kept.
 """
 
@@ -29,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import attach, materialize
 
 OPEN, CLOSE = "<turn>", "</turn>\n"
 
@@ -69,34 +70,65 @@ def tree_key(c: Column) -> Column:
 
 
 def links(messages: DataFrame) -> DataFrame:
-    """(tree, id, parent, score), parent null for roots; a link counts only towards an earlier id that is there."""
+    """(tree, id, parent, score), parent null for roots; a link counts only towards another id that is there."""
     once = messages.groupBy("tree", "id").agg(F.min(F.col("parent")).alias("parent"), F.max("score").alias("score"))
     there = once.select(F.col("tree").alias("t"), F.col("id").alias("p"))
-    own = once.withColumn("parent", F.when(F.col("parent") < F.col("id"), F.col("parent")))
+    own = once.withColumn("parent", F.when(F.col("parent") != F.col("id"), F.col("parent")))
     joined = own.join(there, (own["tree"] == there["t"]) & (own["parent"] == there["p"]), "left")
     return joined.select("tree", "id", F.col("p").alias("parent"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
-def chosen_paths(messages: DataFrame, best: int | None) -> DataFrame:
-    """(tree, leaf, rank, id, depth) for every message on a chosen root-to-leaf path; depth counts from the leaf."""
-    base = materialize(links(messages), "chat-links")
+def climbed(base: DataFrame) -> tuple[DataFrame, list[DataFrame], DataFrame | None]:
+    """(messages with total and steps to their root, the jumps (tree, id, up) of 1, 2, 4, ... messages up, and the
+    messages (t, i) on circles if there are any). Who has not met a root after as many steps as there are messages is
+    on a circle or below one, and such jumps end on circles."""
     jumps: list[DataFrame] = []
     # up: the message 2 ** k above; total, steps: score and number of the messages from here to below it
     state = base.select("tree", "id", F.col("parent").alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("steps"))
+    n = None
     while True:
         open_ = state.filter("up is not null")
         if open_.isEmpty():
-            break
+            return state, jumps, None
+        if len(jumps) > 6:
+            n = n or base.count()
+            if 2 ** (len(jumps) - 1) > n:
+                return state, jumps, open_.select(F.col("tree").alias("t"), F.col("up").alias("i")).distinct()
         jumps.append(open_.select("tree", "id", "up"))
         above = state.select(F.col("tree").alias("t"), F.col("id").alias("i"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("steps").alias("steps2"))
         # only messages that have not met their root go on; the others keep what they have
         joined = open_.join(above, (open_["tree"] == above["t"]) & (open_["up"] == above["i"]))
         onward = joined.select("tree", "id", F.col("up2").alias("up"), (F.col("total") + F.col("total2")).alias("total"), (F.col("steps") + F.col("steps2")).alias("steps"))
         state = materialize(onward.unionByName(state.filter("up is null")), "chat-jump")
+
+
+def ranked(leaves: DataFrame) -> DataFrame:
+    """(tree, leaf, rank) from (tree, id, mean): best mean first, then least id. One range exchange orders all leaves; a
+    rank is the place in a tree's part of a range and the tree's leaves in the ranges before."""
+    order = [F.col("tree"), F.desc("mean"), F.col("id")]
+    spread = leaves.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    spread = materialize(spread, "chat-leaves")
+    here = F.row_number().over(Window.partitionBy("tree", "part").orderBy(F.desc("mean"), "id"))
+    counts = spread.groupBy("tree", "part").agg(F.count(F.lit(1)).alias("n"))
+    # a range has at most two trees that go on beyond it
+    wide = counts.join(counts.groupBy("tree").agg(F.count(F.lit(1)).alias("parts")).filter("parts > 1"), "tree")
+    before = wide.select("tree", "part", (F.sum("n").over(Window.partitionBy("tree").orderBy("part")) - F.col("n")).alias("before"))
+    joined = attach(spread, materialize(before, "chat-before"), ["tree", "part"], "left")
+    return joined.select("tree", F.col("id").alias("leaf"), (here + F.coalesce("before", F.lit(0))).cast("long").alias("rank"))
+
+
+def chosen_paths(messages: DataFrame, best: int | None) -> DataFrame:
+    """(tree, leaf, rank, id, depth) for every message on a chosen root-to-leaf path; depth counts from the leaf."""
+    base = materialize(links(messages), "chat-links")
+    state, jumps, circles = climbed(base)
+    if circles is not None:
+        circles = materialize(circles, "chat-circles")
+        marked = base.join(circles, (base["tree"] == circles["t"]) & (base["id"] == circles["i"]), "left")
+        base = materialize(marked.select("tree", "id", F.when(F.col("i").isNull() | (F.col("parent") < F.col("id")), F.col("parent")).alias("parent"), "score"), "chat-links")
+        state, jumps, _ = climbed(base)
     parents = base.select(F.col("tree").alias("t"), F.col("parent").alias("p")).filter("p is not null").distinct()
     leaves = state.join(parents, (state["tree"] == parents["t"]) & (state["id"] == parents["p"]), "left_anti")
-    rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc(F.col("total") / F.col("steps")), "id"))
-    leaves = leaves.select("tree", F.col("id").alias("leaf"), rank.alias("rank"))
+    leaves = ranked(leaves.select("tree", "id", (F.col("total") / F.col("steps")).alias("mean")))
     if best is not None:
         leaves = leaves.filter(F.col("rank") <= best)
     paths = leaves.select("tree", "leaf", "rank", F.col("leaf").alias("id"), F.lit(0).cast("long").alias("depth"))
