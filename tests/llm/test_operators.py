@@ -52,7 +52,7 @@ def texts(df):
 @pytest.mark.parametrize("name", list(queries.oracle_sql()))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "pages"):
         p = f"{DATA}/{t}.parquet"
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{p + ('/*.parquet' if os.path.isdir(p) else '')}'")
     got, want = queries.queries()[name](spark, DATA).toPandas(), con.execute(queries.oracle_sql()[name]).fetchdf()
@@ -62,6 +62,39 @@ def test_sql(spark, name):
     assert flat(got) == flat(want)
 
 
+@pytest.mark.parametrize("name", [n for n in queries.queries() if n not in queries.oracle_sql()])
+def test_entry(spark, docs, name):
+    """What the registered queries return that SQL cannot say: their columns, a row for each row, and what each must hold."""
+    out = queries.queries()[name](spark, DATA)
+    rows = out.collect()
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    n_docs, n_pages = docs.count(), pages.count()
+    columns = {
+        "op1_decontamination": ["doc_id", "item_id", "distance", "first_word", "last_word"],
+        "op4_quality_rules": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior"],
+        "op5_token_counts": ["doc_id", "n_bytes", "n_tokens", "over_limit"],
+        "op6_language_id": ["kind", "doc_id", "page_id", "lang", "probability", "text_lang", "declared", "address"],
+        "op7_html_extraction": ["page_id", "url", "text", "n_chars"],
+        "op10_simhash": ["doc_id", "fingerprint", "component_id"],
+    }
+    assert out.columns == columns[name]
+    if name == "op1_decontamination":
+        bench, own = {r.item_id: decontam.normal(r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()}, texts(docs)
+        exact = {(d, i) for d, t in own.items() for i, item in bench.items() if f" {item} " in f" {decontam.normal(t)} "}
+        assert exact and {(r.doc_id, r.item_id) for r in rows if r.distance == 0} == exact
+        return
+    assert len(rows) == {"op6_language_id": n_docs + n_pages, "op7_html_extraction": n_pages}.get(name, n_docs)
+    if name == "op7_html_extraction":
+        whole = {r.page_id: r.html for r in pages.collect()}
+        assert all(r.n_chars == len(r.text) and r.text == html.main_text(whole[r.page_id]) for r in rows)
+    if name == "op10_simhash":
+        own = texts(docs)
+        assert all(r.fingerprint == f"{slow_print(own[r.doc_id]):016x}" and r.component_id <= r.doc_id for r in rows)
+    if name == "op4_quality_rules":
+        assert all((r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == counts(texts_[r.doc_id]) for texts_ in [texts(docs)] for r in rows)
+        assert 0 < sum(r.kept for r in rows) < len(rows)
+
+
 # -- 1 -----------------------------------------------------------------------------------------------------------------
 
 

@@ -142,5 +142,20 @@ FROM docs d JOIN budgets b USING (k) JOIN cuts c USING (k)
 """
 
 
+#: Base32 takes the digest's 160 bits in eights of 20 bits (five hexadecimal digits), each four characters.
+WARC_SQL = r"""
+WITH own AS (SELECT page_id::BIGINT AS page_id, url, coalesce(html, '') AS html FROM pages),
+hashed AS (
+  SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, sha1(html) AS h,
+         row_number() OVER (PARTITION BY html ORDER BY page_id NULLS LAST, url) AS n, min(page_id) OVER (PARTITION BY html) AS first FROM own),
+digits AS (SELECT *, list_transform(range(0, 8), lambda i: ('0x' || substr(h, (i * 5 + 1)::INT, 5))::BIGINT) AS eights FROM hashed)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(eights, lambda v: array_to_string(list_transform([15, 10, 5, 0], lambda b: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> b) & 31)::INT + 1, 1)), '')), '') AS payload_digest,
+       CASE WHEN n = 1 OR first IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN n > 1 THEN first END AS refers_to
+FROM digits
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": LINE_DEDUP_SQL, "op3_chat_format": CHAT_SQL, "op9_mixing": MIXING_SQL}
+    return {"op2_line_dedup": LINE_DEDUP_SQL, "op3_chat_format": CHAT_SQL, "op8_warc": WARC_SQL, "op9_mixing": MIXING_SQL}
