@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tributary.functions import render
 from tributary.operators import buckets, predicates
 from tributary.plans.compiler import compile_query, compile_rules, compile_streams
+from tributary.plans.explain import explain
 from tributary.plans.model import Binding, Literal, RuleError
 
 REFUSED = [
@@ -95,3 +96,24 @@ def test_null_route_is_an_error(spark):
         buckets.plan_rows(plan, {"t": rows}).collect()
     with pytest.raises(RuleError, match="no column"):
         buckets.plan_rows(plan, {"t": rows.drop("a")})
+
+
+def test_explain_compiles_to_the_same_plan():
+    text = "with:\n  m: SELECT org FROM members WHERE uid = auth.user_id() AND kind = 'x' AND left_at IS NULL\n  e: SELECT value FROM json_each(request.parameter_array('ids'))\nstreams:\n" + "".join(
+        f"  s{i}:\n    auto_subscribe: {'true' if i % 2 else 'false'}\n    query: {q}\n"
+        for i, q in enumerate(
+            [
+                "SELECT * FROM t",
+                "SELECT *, a || ' ''q'' ' || b AS c FROM t WHERE a = 'x' AND (b IN ('p', 'q') OR c IS NOT NULL)",
+                "SELECT id, b FROM u WHERE owner = auth.user_id() AND n = 5 AND ok = TRUE",
+                "SELECT * FROM t, m AS b WHERE t.org = b.org AND request.jwt() ->> 'role' = 'admin'",
+                "SELECT * FROM t, e WHERE t.k = e.value",
+                "SELECT * FROM t WHERE subscription.parameter('tag') IN tags AND connection.parameter('v') IS NULL",
+            ]
+        )
+    )
+    plan = compile_rules(text)
+    shown = explain(plan)
+    again = [[compile_query(q["sql"], q["with"]) for g in s["groups"] for q in g["queries"]] for s in shown["streams"]]
+    assert again == [list(s.queries) for s in plan.streams]
+    assert shown["tables"]["t"]["all_columns"] and shown["tables"]["u"]["columns"] == ["id", "b"] and len(shown["lookups"]) == 1

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import hmac
 import http.client
+import http.server
 import json
 import struct
 import threading
@@ -11,13 +12,15 @@ import threading
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tributary.plans.model import RuleError
 from tributary.serving import bson
-from tributary.serving.auth import SHA256_DER, ApiTokens, AuthError, PublicKey, Secret, Users, flatten
+from tributary.serving.auth import SHA256_DER, ApiTokens, AuthError, PublicKey, Secret, Users, fetch_keys, flatten, parse_keys
 from tributary.serving.control import HISTORY, Conflict, Control, validate
 from tributary.serving.service import Budget, Service, serve_http
 from tributary.sources import wal
+from tributary.streaming import runner
 from tributary.streaming.store import Store
 
 DOC = "object_type string, object_id string, data string, route string"
@@ -174,6 +177,82 @@ def test_wal_refuses(log):
         list(wal.transactions(log))
 
 
+def test_message_files_reach_the_store(spark, tmp_path):
+    """Captured messages, as files that arrive, decoded by tasks and folded into a store."""
+    source, store = tmp_path / "wal", Store(spark, f"file://{tmp_path}/s", "c")
+    source.mkdir()
+    store.snapshot(spark.createDataFrame([("t", "old", "{}", ALL)], DOC), 0)
+
+    def to_changes(df):
+        none = F.lit(None).cast("string")
+        data = F.when(F.col("kind") != "delete", F.to_json("row"))
+        return df.select("lsn", "seq", "kind", F.col("table").alias("object_type"), F.coalesce(F.col("row")["id"], F.col("old")["id"]).alias("object_id"), data.alias("data"), F.lit(ALL).alias("route"), none.alias("old_id"), none.alias("old_route"))
+
+    files = [
+        [relation(), begin(1), b"I" + ID + b"N" + values("a", "1"), b"I" + ID + b"N" + values("b", "1"), commit(10)],
+        [relation(), begin(2), b"U" + ID + b"N" + values("a", "2"), commit(20), begin(3), b"D" + ID + b"K" + values("b", None), commit(30)],
+    ]
+    for i, messages in enumerate(files):
+        (source / f"{i}.wal").write_bytes(wal.framed(messages))
+        stream = wal.message_stream(spark, str(source))
+        runner.start(stream, store, str(tmp_path / "cp"), to_changes).awaitTermination()
+    assert {(r.object_id, r.data) for r in store.table("current").collect()} == {("old", "{}"), ("a", '{"id":"a","v":"2"}')}
+    assert store.manifest().last_lsn == 30 and store.counters["operations"] == 4
+    seen = []
+    runner.tap(wal.message_stream(spark, str(source)), lambda df: seen.append(df.count()), str(tmp_path / "tap")).awaitTermination()
+    assert sum(seen) == 4 and store.manifest().last_lsn == 30
+    with pytest.raises(RuleError):
+        list(wal.unframed(wal.framed(files[0])[:-1]))
+
+
+def test_key_sets(tmp_path):
+    keys = {"keys": [{"kty": "oct", "k": part(b"s"), "kid": "a"}, {"kty": "RSA", "n": part(b"\x01\x00\x01"), "e": part(b"\x03")}, {"kty": "EC"}, {"kty": "oct", "k": "x", "use": "enc"}]}
+    assert parse_keys(json.dumps(keys)) == [Secret(b"s", "a"), PublicKey(65537, 3)]
+    for bad in ("", "[]", "{}", '{"keys":[]}', '{"keys":[{"kty":"EC"}]}', '{"keys":[{"kty":"oct"}]}', '{"keys":["x"]}'):
+        with pytest.raises(ValueError):
+            parse_keys(bad)
+    for url in ("http://example.org/keys", "ftp://localhost/keys", "file:///etc/passwd", "keys", "http://localhost.example.org/"):
+        with pytest.raises(ValueError, match="https"):
+            fetch_keys(url)
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            self.send_response(302 if self.path == "/away" else 200)
+            if self.path == "/away":
+                self.send_header("Location", "/keys")
+            self.end_headers()
+            self.wfile.write(json.dumps(keys).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        at = f"http://127.0.0.1:{server.server_address[1]}"
+        assert users(*fetch_keys(f"{at}/keys")).verify(hs256({"exp": NOW + 9}, kid="a"))
+        for url in (f"{at}/away", "http://127.0.0.1:9/keys"):
+            with pytest.raises(ValueError, match="cannot be fetched"):
+                fetch_keys(url)
+        with pytest.raises(ValueError, match="too large"):
+            fetch_keys(f"{at}/keys", most=10)
+    finally:
+        server.shutdown()
+        server.server_close()
+
+
+def test_lookups_of_the_store_bind_subscriptions(spark, tmp_path):
+    rules = "streams:\n  orgs:\n    with:\n      m: SELECT org FROM members WHERE uid = auth.user_id()\n    query: SELECT * FROM t, m AS b WHERE t.org = b.org\n"
+    store = Store(spark, f"file://{tmp_path}/s", "c")
+    docs = [("t", "a", "{}", '1#orgs|0["o1"]'), ("t", "b", "{}", '1#orgs|0["o2"]')]
+    store.snapshot(spark.createDataFrame(docs, DOC), 0, {"members": spark.createDataFrame([("1", "o1", "u1"), ("2", "o2", "u2")], "id string, org string, uid string")})
+    service = Service(store, Control(rules), users())
+    signed = {"Authorization": f"Bearer {hs256({'exp': NOW + 9, 'sub': 'u1'})}"}
+    client = Client()
+    client.read(service.respond("POST", "/sync/stream", signed, json.dumps({"streams": {"subscriptions": [{"stream": "orgs"}]}}).encode()))
+    assert set(client.docs) == {('1#orgs|0["o1"]', "a")}
+
+
 # -- responses ---------------------------------------------------------------------------------------------------------
 
 ALL, U1 = "1#all|0[]", '1#own|0["u1"]'

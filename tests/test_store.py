@@ -170,3 +170,32 @@ def test_lookup_carry_forward(spark):
     df = spark.createDataFrame(rows, "id string, lsn long, seq int, present array<string>, a string, b string")
     stored = spark.createDataFrame([("2", "old", "q"), ("3", "k", "l")], "id string, a string, b string")
     assert as_set(cdc.carry_forward(df, ["a", "b"], stored)) == {("1", "z", "y"), ("2", "old", None), ("3", "k", "l")}
+
+
+LOOKUP_CHANGE = "id string, lsn long, seq int, kind string, old_id string, present array<string>, org string, uid string"
+
+
+def test_lookup_rows_are_in_the_same_commit(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s", "c", raw=True)
+    rows = spark.createDataFrame([("1", "o1", "u1"), ("2", "o2", "u1"), ("3", "o3", "u2"), ("4", "o4", "u4")], "id string, org string, uid string")
+    store.snapshot(spark.createDataFrame([("t", "z", "{}", "r")], DOC), 0, {"members": rows})
+    both = ["org", "uid"]
+    changes = [
+        ("1", 1, 0, "update", None, ["uid"], None, "u9"),  # org is carried forward
+        ("2", 1, 1, "delete", None, [], None, None),
+        ("2", 2, 0, "insert", None, ["uid"], None, "u7"),  # begins anew
+        ("5", 2, 1, "update", "3", both, "o5", "u5"),  # another id
+        ("6", 3, 0, "insert", None, both, "o6", "u6"),
+        ("6", 3, 1, "delete", None, [], None, None),
+    ]
+    none = spark.createDataFrame([], CHANGE)
+    m = store.apply(none, {"members": spark.createDataFrame(changes, LOOKUP_CHANGE)})
+    want = {("1", "o1", "u9"), ("2", None, "u7"), ("5", "o5", "u5"), ("4", "o4", "u4")}
+    assert as_set(store.lookup("members").select("id", "org", "uid")) == want and m.last_lsn == 3 and m.last_op_id == store.manifest().snapshot_floor
+    assert store.apply(none, {"members": spark.createDataFrame(changes, LOOKUP_CHANGE)}) == m  # delivered again
+    m = store.apply(spark.createDataFrame([change(4, "insert", "a", "{}", "r")], CHANGE))
+    assert as_set(store.lookup("members").select("id", "org", "uid")) == want and set(store.lookups()) == {"members"}
+    assert store.clear().generation > m.generation and set(store.lookups()) == {"members"}
+    with pytest.raises(RuleError, match="no snapshot of other"):
+        store.apply(none, {"other": spark.createDataFrame([("1", 9, 0, "delete", None, [], None, None)], LOOKUP_CHANGE)})
+    assert spark.read.parquet(f"{store.uri}/raw/*/raw").count() == 1

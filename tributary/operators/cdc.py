@@ -173,3 +173,16 @@ def carry_forward(changes: DataFrame, columns: list[str], stored: DataFrame | No
     old = stored.select(F.col("id").alias("old"), *[F.col(c).alias(f"o_{c}") for c in columns])
     joined = last.join(seen, "id", "left").join(old, F.col("id") == F.col("old"), "full")
     return joined.select(F.coalesce("id", "old").alias("id"), *[F.when(F.col("id").isNotNull() & F.coalesce(F.array_contains("given", c), F.lit(False)), F.col(c)).otherwise(F.col(f"o_{c}")).alias(c) for c in columns])
+
+
+def fold_lookup(changes: DataFrame, columns: list[str], stored: DataFrame) -> DataFrame:
+    """Lookup rows (id, columns...) after changes (id, lsn, seq, kind, old_id, present, columns...): what carry_forward
+    keeps, without rows that were deleted since or have another id now. A row that comes after its delete begins
+    anew."""
+    at = F.struct("lsn", "seq")
+    gone = changes.filter("kind = 'delete'").select("id", at.alias("at"))
+    gone = gone.unionByName(changes.filter("kind != 'delete' and old_id is not null and old_id != id").select(F.col("old_id").alias("id"), at.alias("at")))
+    last = gone.groupBy("id").agg(F.max("at").alias("gone_at"))
+    live = changes.filter("kind != 'delete'").join(last, "id", "left").filter(F.col("gone_at").isNull() | (at > F.col("gone_at")))
+    left = stored.join(last, "id", "left_anti")
+    return carry_forward(live.select("id", "lsn", "seq", "present", *columns), columns, left)

@@ -9,6 +9,8 @@ import hmac
 import json
 import math
 import time
+import urllib.parse
+import urllib.request
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
@@ -106,6 +108,49 @@ def bearer(headers: Mapping[str, str]) -> str:
     return given[1]
 
 
+def parse_keys(text: str) -> list[Secret | PublicKey]:
+    """The keys of a JSON Web Key Set (RFC 7517) that sign with HS256 or RS256; others are passed over, none is an
+    error."""
+    try:
+        given = json.loads(text)["keys"]
+        found: list[Secret | PublicKey] = []
+        for k in given:
+            if k.get("use", "sig") != "sig":
+                continue
+            if k.get("kty") == "oct" and k.get("alg", "HS256") == "HS256":
+                found.append(Secret(b64url(k["k"]), k.get("kid")))
+            elif k.get("kty") == "RSA" and k.get("alg", "RS256") == "RS256":
+                found.append(PublicKey(int.from_bytes(b64url(k["n"])), int.from_bytes(b64url(k["e"])), k.get("kid")))
+    except (ValueError, TypeError, KeyError, AttributeError, AuthError):
+        raise ValueError("not a set of keys") from None
+    if not found:
+        raise ValueError("the set has no key for HS256 or RS256")
+    return found
+
+
+class SameOrigin(urllib.request.HTTPRedirectHandler):
+    """Redirects are not followed: an address that was allowed must answer itself."""
+
+    def redirect_request(self, *_):
+        return None
+
+
+def fetch_keys(url: str, timeout: float = 5.0, most: int = 1 << 20) -> list[Secret | PublicKey]:
+    """The key set at an address: https, or http on the machine itself."""
+    at = urllib.parse.urlsplit(url)
+    local = at.hostname in ("localhost", "127.0.0.1", "::1")
+    if not at.hostname or not (at.scheme == "https" or at.scheme == "http" and local):
+        raise ValueError("keys come by https, or by http from this machine")
+    try:
+        with urllib.request.build_opener(SameOrigin).open(url, timeout=timeout) as answer:
+            body = answer.read(most + 1)
+    except OSError as error:
+        raise ValueError(f"keys cannot be fetched: {error}") from None
+    if len(body) > most:
+        raise ValueError("the set of keys is too large")
+    return parse_keys(body.decode())
+
+
 @dataclass(frozen=True)
 class Users:
     """Checks tokens of users; without keys nobody is let in, and a policy without values is not applied."""

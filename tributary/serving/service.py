@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import buckets, cdc, serve
+from ..plans.explain import explain
 from ..plans.model import Plan, RuleError
 from ..streaming.runner import wait_for_change
 from ..streaming.store import Store
@@ -97,7 +98,7 @@ def shaped(request: Mapping, name: str, kind: type, default):
 
 
 class Service:
-    """`tables` has the rows of lookup tables. Without users nobody is let in, unless `anonymous` says that everybody
+    """`tables` has the rows of lookup tables that the store does not keep. Without users nobody is let in, unless `anonymous` says that everybody
     may read every bucket."""
 
     def __init__(self, store: Store, control: Control, users: Users | None = None, api: ApiTokens | None = None, tables: Mapping[str, DataFrame] | None = None, anonymous: bool = False):
@@ -122,13 +123,14 @@ class Service:
         asked = flatten(shaped(request, "parameters", dict, {}))
         context = token.request(asked) if token else {"parameters": asked}
         defaults = buckets.default_buckets(plan, context)
+        tables = {**self.tables, **self.store.lookups()} if plan.lookups() else {}
         streams, only = shaped(request, "streams", dict, None), shaped(request, "only", list, [])
         if streams is not None:
             wanted = list(defaults) if streams.get("include_defaults") in (None, True) else []
             for s in shaped(streams, "subscriptions", list, []):
                 if not isinstance(s, dict) or not isinstance(s.get("stream"), str):
                     raise Bad(422, "a subscription names a stream")
-                wanted += buckets.resolve(plan, s["stream"], context | {"subscription": flatten(shaped(s, "parameters", dict, {}))}, self.tables)
+                wanted += buckets.resolve(plan, s["stream"], context | {"subscription": flatten(shaped(s, "parameters", dict, {}))}, tables)
         else:
             wanted = only or list(seen) or defaults
             for name in only or seen:
@@ -258,7 +260,7 @@ class Service:
             case "/api/admin/v1/diagnostics":
                 m = self.store.manifest()
                 shown = {"generation": m.generation, "last_op_id": m.last_op_id, "last_lsn": m.last_lsn, "complete": m.complete} if m else None
-                return reply(200, {"ready": self.ready(), "store": shown, "rules": self.control.describe(bool(body_of(body).get("sync_rules_content")))})
+                return reply(200, {"ready": self.ready(), "store": shown, "plan": explain(self.control.plan()), "rules": self.control.describe(bool(body_of(body).get("sync_rules_content")))})
             case "/api/admin/v1/schema":
                 plan = self.control.plan()
                 return reply(200, {"tables": [{"name": t, "lookup": t not in plan.sources()} for t in dict.fromkeys([*plan.sources(), *(x.table for x in plan.lookups())])]})

@@ -40,6 +40,8 @@ SUPERSEDED = T.StructType([T.StructField("bucket", T.StringType())] + [T.StructF
 #: Count and checksum (unsigned) of the current documents of a bucket, and bytes of their documents and keys.
 SUMS = T.StructType([T.StructField("bucket", T.StringType())] + [T.StructField(n, T.LongType()) for n in ("count", "checksum", "bytes")])
 SCHEMAS = {"current": CURRENT, "tail": TAIL, "superseded": SUPERSEDED, "sums": SUMS}
+#: What the tables of lookup rows are called in manifests and folders, before their own name.
+LOOKUP = "lookup-"
 #: Slots of a new store, operations up to which their keys are broadcast, seconds that an old manifest is kept.
 SLOTS, FEW, OLD_SECONDS = 64, 100_000, 900.0
 
@@ -75,9 +77,9 @@ def slot_column(route: Column, slots: int) -> Column:
 class Store:
     """One store at a URI. `route` columns hold the names of buckets."""
 
-    def __init__(self, spark: SparkSession, uri: str, contract: str, source: str = "", keep: int = KEEP, slots: int = SLOTS, old_seconds: float = OLD_SECONDS):
+    def __init__(self, spark: SparkSession, uri: str, contract: str, source: str = "", keep: int = KEEP, slots: int = SLOTS, old_seconds: float = OLD_SECONDS, raw: bool = False):
         self.spark, self.uri, self.contract, self.source, self.keep = spark, uri.rstrip("/"), contract, source, keep
-        self.slots, self.old_seconds = slots, old_seconds
+        self.slots, self.old_seconds, self.raw = slots, old_seconds, raw  # raw: batches are kept as they came
         self.counters = dict.fromkeys(("batches", "skipped_batches", "operations", "rewritten_slots", "conflicts", "deleted_folders"), 0)
         self._jvm = spark.sparkContext._jvm
         self._conf = spark.sparkContext._jsc.hadoopConfiguration()
@@ -94,7 +96,8 @@ class Store:
     def _read(self, name: str) -> Manifest:
         stream = self._fs.open(self._path(f"{self.uri}/manifests/{name}"))
         try:
-            return Manifest(**json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+            m = Manifest(**json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+            return replace(m, paths={n: tuple(p) for n, p in (m.paths or {}).items()})
         finally:
             stream.close()
 
@@ -175,6 +178,17 @@ class Store:
     def sums(self, names: Sequence[str], m: Manifest) -> DataFrame:
         return self.table("sums", m, {slot_of(n, m.slots) for n in names})
 
+    def lookup(self, table: str, m: Manifest | None = None) -> DataFrame | None:
+        """The rows of a lookup's table that the store keeps, None if it keeps none."""
+        m = m or self.manifest()
+        paths = list((m.paths or {}).get(f"{LOOKUP}{table}", ())) if m else []
+        return self.spark.read.parquet(*paths) if paths else None
+
+    def lookups(self, m: Manifest | None = None) -> dict[str, DataFrame]:
+        m = m or self.manifest()
+        names = [n.removeprefix(LOOKUP) for n in (m.paths or {}) if n.startswith(LOOKUP)] if m else []
+        return {n: self.lookup(n, m) for n in names}
+
     def _state(self, rows: DataFrame, folder: str) -> dict[str, tuple[str, ...]]:
         """Write documents and the sums of their buckets."""
         current = self._write_slots(rows.select(*CURRENT.names), "current", folder, "route")
@@ -196,21 +210,24 @@ class Store:
         m = self.manifest()
         return m if self.fits(m) else None
 
-    def snapshot(self, documents: DataFrame, lsn: int) -> Manifest:
-        """Seed the store with documents (object_type, object_id, data, route). They take operation ids but are not in
-        the log; cursors from before are below the floor. That it has begun is committed first, so that an interrupted
-        build is seen as unfinished."""
+    def snapshot(self, documents: DataFrame, lsn: int, lookups: Mapping[str, DataFrame] | None = None) -> Manifest:
+        """Seed the store with documents (object_type, object_id, data, route) and rows (id, text columns) of lookup
+        tables. Documents take operation ids but are not in the log; cursors from before are below the floor. That it
+        has begun is committed first, so that an interrupted build is seen as unfinished."""
         old = self.manifest()
         base = max(old.last_op_id, int(time.time() * 1000) * EPOCH) if old else 0
         begun = self._commit(Manifest((old.generation if old else 0) + 1, self.contract, self.source, -1, base, base, base, False, {}, self.slots))
         rows = documents.withColumns({"lsn": F.lit(0), "seq": F.xxhash64("object_type", "object_id"), "sub": F.struct("object_type", "object_id")})
         generation = begun.generation + 1
-        paths = self._state(cdc.with_op_ids(rows, base), self._folder(generation))
+        folder = self._folder(generation)
+        paths = self._state(cdc.with_op_ids(rows, base), folder)
+        paths |= {f"{LOOKUP}{n}": (self._write(df, f"{LOOKUP}{n}", folder),) for n, df in (lookups or {}).items()}
         last = base + self._read_paths("current", paths["current"]).count()
         return self._commit(replace(begun, generation=generation, last_lsn=lsn, last_op_id=last, snapshot_floor=last, retained_floor=last, complete=True, paths=paths | {"tail": ()}))
 
-    def apply(self, changes: DataFrame) -> Manifest:
-        """Fold in changes (see cdc.derive); transactions at or below the stored position are skipped."""
+    def apply(self, changes: DataFrame, lookups: Mapping[str, DataFrame] | None = None) -> Manifest:
+        """Fold in changes (see cdc.derive) of documents, and of lookup tables (see cdc.fold_lookup), in one commit;
+        transactions at or below the stored position are skipped."""
         m = self.manifest()
         if m is None or not m.complete:
             raise RuleError("the store has no snapshot")
@@ -219,11 +236,16 @@ class Store:
         fresh = cdc.not_yet_applied(changes, m.last_lsn)
         ops = cdc.with_op_ids(cdc.derive(fresh), m.last_op_id)
         top, last = ops.agg(F.max("lsn"), F.max("op_id")).first()
-        if top is None:
+        news = {n: cdc.not_yet_applied(df, m.last_lsn) for n, df in (lookups or {}).items()}
+        tops = [x for x in (top, *(df.agg(F.max("lsn")).first()[0] for df in news.values())) if x is not None]
+        if not tops:
             self.counters["skipped_batches"] += 1
             return m
+        last = m.last_op_id if last is None else last
         generation = m.generation + 1
         folder = self._folder(generation)
+        if self.raw:
+            self._write(fresh, "raw", f"{self.uri}/raw/{generation:020d}")
         # only the stored images of the keys at hand are joined
         keys = ops.select("object_type", "object_id").distinct()
         near = self.table("current", m).join(F.broadcast(keys) if last - m.last_op_id <= FEW else keys, ["object_type", "object_id"], "left_semi")
@@ -235,6 +257,12 @@ class Store:
         same = {n: tuple(p for p in m.paths.get(n, ()) if int(p.rsplit("slot=", 1)[1]) not in touched) for n in ("current", "sums")}
         paths = {n: same[n] + state[n] for n in ("current", "sums")}
         paths |= {"tail": (*m.paths["tail"], tail), "superseded": tuple(m.paths.get("superseded", ()))}
+        paths |= {n: tuple(p) for n, p in m.paths.items() if n.startswith(LOOKUP)}
+        for n, df in news.items():
+            old = self.lookup(n, m)
+            if old is None:
+                raise RuleError(f"the store has no snapshot of {n}")
+            paths[f"{LOOKUP}{n}"] = (self._write(cdc.fold_lookup(df, [c for c in old.columns if c != "id"], old), f"{LOOKUP}{n}", folder),)
         floor = max(m.retained_floor, last - self.keep)
         if floor > m.retained_floor:
             whole = self._read_paths("tail", paths["tail"])
@@ -243,7 +271,7 @@ class Store:
             dropped = cdc.superseded_checkpoint(cdc.effects(whole.filter(F.col("op_id") <= last - self.keep), lambda route: route))
             sums = self.table("superseded", m).unionByName(dropped).groupBy("bucket").agg(F.sum("count").alias("count"), cdc.checksum_sum().alias("checksum"))
             paths["superseded"] = (self._write(sums.select(*SUPERSEDED.names), "superseded", folder),)
-        done = self._commit(replace(m, generation=generation, last_lsn=int(top), last_op_id=last, retained_floor=floor, paths=paths))
+        done = self._commit(replace(m, generation=generation, last_lsn=int(max(tops)), last_op_id=last, retained_floor=floor, paths=paths))
         for name, n in (("batches", 1), ("operations", last - m.last_op_id), ("rewritten_slots", len(touched))):
             self.counters[name] += n
         self.prune()
@@ -254,4 +282,5 @@ class Store:
         m = self.manifest()
         left = self.table("current", m).filter(F.lit(False) if object_type is None else F.col("object_type") != object_type)
         paths = self._state(left, self._folder(m.generation + 1))
+        paths |= {n: tuple(p) for n, p in m.paths.items() if n.startswith(LOOKUP)}
         return self._commit(replace(m, generation=m.generation + 1, last_op_id=m.last_op_id + 1, snapshot_floor=m.last_op_id + 1, retained_floor=m.last_op_id + 1, paths=paths | {"tail": ()}))
