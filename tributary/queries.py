@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .functions import render
 from .operators import buckets, cdc, predicates, serve
 from .plans.compiler import compile_rules, compile_streams
+from .sources import fixtures
 from .sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -498,3 +499,19 @@ def run_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = F.element_at(F.create_map(*[F.lit(x) for kv in ends.items() for x in kv]), F.col("part"))
     upto = F.coalesce(F.lead("event_id").over(Window.partitionBy("part").orderBy("event_id")), last)
     return kept.select("event_type", (upto - F.col("event_id")).alias("len")).groupBy("event_type", "len").agg(F.count(F.lit(1)).alias("runs"))
+
+
+TASKS_SQL = """WITH n AS (
+  SELECT i // 120 + 1 AS o, (i // 20) % 6 + 1 AS p, i % 20 + 1 AS t FROM range(360) AS r(i)),
+ids AS (SELECT *, 'org-' || lpad(o::VARCHAR, 3, '0') AS org_id, lpad(p::VARCHAR, 4, '0') AS pp, lpad(t::VARCHAR, 4, '0') AS tt FROM n)
+SELECT 'task-' || org_id || '-' || pp || '-' || tt AS id, org_id, 'project-' || org_id || '-' || pp AS project_id, 'user-1' AS owner_id, 'Task ' || p || '.' || t AS title,
+       CASE WHEN t % 7 = 0 THEN 'blocked' WHEN t % 5 = 0 THEN 'done' WHEN t % 3 = 0 THEN 'in_progress' ELSE 'todo' END AS status, ((t - 1) % 5 + 1)::INT AS priority,
+       'user-' || org_id || '-' || lpad(((p + t - 2) % 8 + 1)::VARCHAR, 4, '0') AS assignee_id, ((t - 1) % 8 + 1)::INT AS story_points, '2026-01-01T00:00:00Z' AS updated_at,
+       repeat(md5(org_id || ':' || p || ':' || t), 3) AS summary
+FROM ids"""
+
+
+@query(TASKS_SQL)
+def fixture_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The generated task table of a load test, three organisations of six projects with twenty tasks."""
+    return fixtures.tasks(spark, 3, 8, 6, 20)
