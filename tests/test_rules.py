@@ -4,10 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tributary.functions import render
-from tributary.operators import buckets, predicates
-from tributary.plans.compiler import compile_query, compile_rules, compile_streams
+from tributary.operators import buckets, predicates, serve
+from tributary.plans.compiler import compile_query, compile_rules, compile_streams, load_rules
 from tributary.plans.explain import explain
 from tributary.plans.model import Binding, Literal, RuleError
+from tributary.sources import tables
 
 REFUSED = [
     "SELECT * FROM t WHERE a > 1",
@@ -117,3 +118,47 @@ def test_explain_compiles_to_the_same_plan():
     again = [[compile_query(q["sql"], q["with"]) for g in s["groups"] for q in g["queries"]] for s in shown["streams"]]
     assert again == [list(s.queries) for s in plan.streams]
     assert shown["tables"]["t"]["all_columns"] and shown["tables"]["u"]["columns"] == ["id", "b"] and len(shown["lookups"]) == 1
+
+
+def test_sources_are_checked_before_use(spark):
+    plan = compile_rules("with:\n  m: SELECT org FROM members WHERE uid = auth.user_id()\nstreams:\n  s:\n    query: SELECT * FROM t, m AS b WHERE t.org = b.org\n")
+    whole = {"operations": ["insert", "update", "delete", "truncate"]}
+    tables.check_publication(plan, {"t": whole, "members": whole})
+    for broken in ({"t": whole}, {"t": whole, "members": {"operations": ["insert"]}}, *({"t": whole | {k: v}, "members": whole} for k, v in (("omitted", ["c"]), ("row_filter", "x"), ("parent", True), ("via_root", True)))):
+        with pytest.raises(RuleError):
+            tables.check_publication(plan, broken)
+    tables.check_start(5, 5)
+    tables.check_start(5, None)
+    for start, durable, active in ((6, 5, False), (1, 5, True)):
+        with pytest.raises(RuleError):
+            tables.check_start(start, durable, active)
+    with pytest.raises(RuleError, match="verify-full or disable"):
+        tables.read_jdbc(spark, "jdbc:x", "t", tls="prefer")
+    with pytest.raises(RuleError, match="not supported"):
+        tables.read_table(spark, "/nowhere", "t", "xml")
+    with pytest.raises(RuleError, match="no column z"):
+        tables.check_columns(spark.range(1), ["id", "z"])
+
+
+def test_rules_come_from_several_places(tmp_path, monkeypatch):
+    rules = lambda name: f"streams:\n  {name}:\n    query: SELECT * FROM t\n"
+    named = lambda **k: load_rules(**k).streams[0].name
+    for k in ("TRIBUTARY_RULES", "TRIBUTARY_RULES_PATH"):
+        monkeypatch.delenv(k, raising=False)
+    (tmp_path / "a").write_text(rules("file"))
+    assert named(text=rules("text"), path=str(tmp_path / "a")) == "text" and named(path=str(tmp_path / "a"), builtin=rules("own")) == "file" and named(builtin=rules("own")) == "own"
+    with pytest.raises(RuleError, match="no rules"):
+        load_rules()
+    monkeypatch.setenv("TRIBUTARY_RULES_PATH", str(tmp_path / "a"))
+    assert named(builtin=rules("own")) == "file"
+    monkeypatch.setenv("TRIBUTARY_RULES", rules("env"))
+    assert named(builtin=rules("own")) == "env"
+
+
+def test_lookup_ids_and_cursors(spark):
+    text = "with:\n  m: SELECT org FROM members WHERE uid = auth.user_id(){}\nstreams:\n  s:\n    query: SELECT * FROM t, m AS b WHERE t.org = b.org\n"
+    one, same, other = (compile_rules(text.format(x)).lookups()[0].lookup_id for x in ("", "", " AND kind = 'x'"))
+    assert one == same != other and len(one) == 16
+    cursors = spark.createDataFrame([("a", 0), ("b", 7)], "bucket string, after long")
+    assert {tuple(r) for r in serve.advance(cursors, 9).collect()} == {("a", 9), ("b", 9)}
+    assert {(r.bucket, r.mode) for r in serve.decide(cursors, 9, 3, 8).collect()} == {("a", "snapshot"), ("b", "reset")}
