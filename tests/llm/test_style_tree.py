@@ -75,6 +75,12 @@ def test_nothing_is_lost_or_leaks():
         assert html.main_text(f"<body>{deep}<nav>menu</nav><ul class=menu><li>item</ul><p>kept</p>{'</div>' * depth}<p>also</p></body>") == "kept also"
     assert html.main_text("<body><div class=ad data-u=/x/>BUY</div><p>kept</p></body>") == "kept"
     assert html.main_text("<article><section class='related-work'><p>Earlier</p></section><p class=legal>Law</p><div class='ad-slot'>Buy</div><div id=related>See also</div></article>") == "Earlier Law"
+    for name in ("cookie-banner", "site-footer", "adSlot top", "social_share", "post-comments", "sidebar-left", "x newsletter-box", "breadcrumbs", "legal notice", "search-bar"):
+        assert html.main_text(f"<body><div class='{name}'>noise</div><p>kept</p></body>") == "kept", name
+    for name in ("adapter", "shareholders", "navy-blue", "related-work", "notice-period", "footnote", "story", "content main"):
+        assert html.main_text(f"<body><div class='{name}'>more</div><p>kept</p></body>") == "more kept", name
+    for name, gone in (("notice", True), ("comments", True), ("legal", False), ("discussion", False), ("search", False), ("related-posts", True)):
+        assert html.main_text(f"<article><p>kept</p><div class={name}>inner</div></article>") == ("kept" if gone else "kept inner"), name
     assert html.main_text("<body><nav><h1>Site</h1></nav><h1>Title</h1><div>x</div><article><p>Body</p></article></body>") == "Title Body"
     assert html.main_text("<body><h1>Site</h1><article><h1>Title</h1><p>Body</p></article></body>") == "Title Body"
     assert html.main_text("<!--><p>kept</p><!-- <p>gone</p> --><ul><li><p>one<li>two</ul>") == "kept one two"

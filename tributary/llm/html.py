@@ -17,8 +17,9 @@ presentations.
 Elements that declare what they are (nav, footer, aside, form, script, a class
 naming an advert, a notice or comments, ...) are noise from the start, and
 those that declare the article are kept, as is all in it that does not declare
-noise. A class or id declares noise if all words of one of its names do, so
-`related` does and `related-work` does not; in an article fewer words do.
+noise. A class or id declares noise if one of its names has a word for it and
+none that says something else, so `related-posts` does and `related-work` does
+not; in an article fewer words do.
 
 Only hashes of paths, presentations and features are shuffled, counted map-side
 first; the pages of a large host are counted by all tasks. What comes back to
@@ -60,20 +61,22 @@ PAGE_TAGS = frozenset("html body article main".split())
 ARTICLE_TAGS = frozenset("article main".split())
 # Words in class and id that name noise anywhere, and those that do so outside articles only.
 NOISE_WORDS = frozenset(
-    """ad ads advert adverts advertisement advertisements advertising adsense adslot sponsor sponsored sponsors promo promos promotion
-    nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars toolbar pagination pager
-    cookie cookies consent gdpr popup modal newsletter subscribe subscription signup signin login
-    comment comments respond disqus share sharing related recommended recommendations widget widgets searchbox""".split()
+    """ad ads advert adverts advertisement advertisements advertising adsense adslot sponsor sponsored sponsors promo promos promotion banner
+    nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside footer foot colophon masthead topbar toolbar pagination pager
+    cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup signin login
+    comment comments reply replies respond disqus share sharing social related recommended recommendations widget widgets searchbox""".split()
 )
-OUTER_WORDS = frozenset("banner aside footer foot colophon masthead topbar notice notices notification alert overlay reply replies discussion social search copyright disclaimer legal skip".split())
+OUTER_WORDS = frozenset("discussion search copyright disclaimer legal skip".split())
 HEADER_WORDS = frozenset("header head topheader siteheader".split())
 COMMENT_WORDS = frozenset("comment comments reply replies respond disqus".split())
 # Words that say where something is or what shape it has, not what it is.
 PLACE_WORDS = frozenset(
     """site main top bottom left right primary secondary page global sub mini box block area section list container wrapper wrap inner outer
     item items link links bar slot unit panel pane group row col column region zone module button buttons fixed sticky mobile desktop strip
-    rail recent small large the my id div form message msg posts articles thread count to in on us js""".split()
+    rail recent small large the my id div form message msg article articles post posts content body text entry blog story news user reader
+    thread count to in on us js""".split()
 )
+KNOWN_WORDS = NOISE_WORDS | OUTER_WORDS | HEADER_WORDS | PLACE_WORDS
 #: An opening tag of the key closes an open element of these.
 IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Elements beyond which an implied end is not looked for.
@@ -89,10 +92,10 @@ RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I | re.A) for t in RAW}
 
 
 def named(names: str, words: frozenset[str]) -> bool:
-    """Whether all words of one of the names are of these words, or say where it is."""
+    """Whether one of the names has any of these words, and no word that is not known."""
     for name in names.split():
         found = {w.lower() for w in WORDS.findall(name)}
-        if found & words and found <= words | PLACE_WORDS | HEADER_WORDS:
+        if found & words and found <= KNOWN_WORDS:
             return True
     return False
 
